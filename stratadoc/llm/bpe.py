@@ -12,8 +12,11 @@ import re
 from array import array
 
 BLANK_RUN = re.compile(r" \s| $")
-#: Pieces that a worker remembers; the memo starts anew beyond that, which bounds its memory to some 100 MB.
-MEMO_PIECES = 400_000
+#: Latin letters, then signs other than an apostrophe: pre-tokens that the byte-level pattern splits just there.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: Pieces of each of the two generations of a worker's memo. A full generation takes the place of the older one, and pieces
+#: that are met again move up, so frequent pieces stay and memory is bounded by some 50 MB.
+MEMO_PIECES = 120_000
 MEMO_PIECE_CHARS = 64
 
 
@@ -23,6 +26,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_signs() -> list[str]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable ones for themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
@@ -34,31 +44,65 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
+        self._signs = byte_signs()
+        self._blank = self._signs[32]
+        self._break = self._pre_token(self._signs[10])
+        self._marks: dict[str, bytes] = {}
         self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _pre_token(self, signs: str) -> bytes:
+        return array("I", [t.id for t in self._model.tokenize(signs)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a blank and the piece. Plain words, with or without signs after them and with single line breaks
+        between them, skip the library's pre-tokenizer, whose result is known for these."""
+        made, lead = [], self._blank
+        for line in piece.split("\n"):
+            m = PLAIN.fullmatch(line)
+            if m is None:
+                return self._whole(" " + piece)
+            word, signs = m.groups()
+            known = self._memo.get(word) if signs and lead else None
+            if known is None:
+                known = self._pre_token(lead + (word if word.isascii() else "".join(map(self._signs.__getitem__, word.encode()))))
+            made.append(known)
+            if signs:
+                if signs not in self._marks:
+                    if len(self._marks) > 5000:
+                        self._marks.clear()
+                    self._marks[signs] = self._pre_token(signs)
+                made.append(self._marks[signs])
+            made.append(self._break)
+            lead = ""
+        return b"".join(made[:-1])
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ")
         if BLANK_RUN.search(text):
             return self._whole(text)
-        memo = self._memo
+        first, *rest = text.split(" ")
         try:
-            tail = [memo[p] for p in rest]
+            tail = [self._memo[p] for p in rest]
         except KeyError:
-            missing = [p for p in set(rest) if p not in memo]
-            if len(memo) + len(missing) > MEMO_PIECES:
-                memo.clear()
-                missing = list(set(rest))
-            found = self._tokenizer.encode_batch_fast([" " + p for p in missing], add_special_tokens=False)
-            fresh = {p: array("I", e.ids).tobytes() for p, e in zip(missing, found, strict=True)}
-            memo.update((p, b) for p, b in fresh.items() if len(p) <= MEMO_PIECE_CHARS)
-            tail = [fresh[p] if p in fresh else memo[p] for p in rest]
+            tail = self._with_misses(rest)
         return b"".join([self._whole(first), *tail]) if first else b"".join(tail)
 
+    def _with_misses(self, pieces: list[str]) -> list[bytes]:
+        memo, older, long = self._memo, self._older, {}
+        for p in set(pieces).difference(memo):
+            ids = older.get(p) or self._piece(p)
+            (memo if len(p) <= MEMO_PIECE_CHARS else long)[p] = ids
+        tail = [memo[p] if p in memo else long[p] for p in pieces]
+        if len(memo) > MEMO_PIECES:
+            self._older, self._memo = memo, {}
+        return tail
+
 
 _encoders: dict[str, Encoder] = {}
 
