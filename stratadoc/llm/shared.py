@@ -74,6 +74,11 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t if t is not None else "" for t in column.to_pylist()]
 
 
+def one_task_a_file(manifest: DataFrame) -> DataFrame:
+    """The manifest's rows dealt to as many tasks: its own size in bytes would let them all be merged into one."""
+    return manifest.repartition(max(1, manifest.count()))
+
+
 def slices_by_bytes(lengths, most: int) -> Iterator[tuple[int, int]]:
     """(start, end) of consecutive rows of about `most` bytes together, at least one row each."""
     start, total = 0, 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratadoc.llm.bpe import encoder, tokenizer_path
-from stratadoc.llm.shared import filesystem, shared_folder, texts_of
+from stratadoc.llm.shared import filesystem, one_task_a_file, shared_folder, texts_of
 
 SKIPPABLE_MAGIC = 0x184D2A5E
 FOOTER = struct.Struct("<QQBxxxxxxx8s")
@@ -207,7 +207,7 @@ def read_token_files(manifest: DataFrame, wanted: set[int | None] | None = None,
                                 column.clear()
                 yield read_batch(held)
 
-    return manifest.select("path", "base").repartition("path").mapInArrow(read, READ_SCHEMA)
+    return one_task_a_file(manifest.select("path", "base")).mapInArrow(read, READ_SCHEMA)
 
 
 def read_batch(held: dict[str, list]) -> pa.RecordBatch:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm.shared import filesystem, shared_folder
+from stratadoc.llm.shared import filesystem, one_task_a_file, shared_folder
 
 MANIFEST_SCHEMA = "path string, n_records long, n_bytes long"
 RECORD_SCHEMA = "record_id string, record_type string, refers_to string, payload_digest string, segment int, total long, block binary"
@@ -218,7 +218,7 @@ def read_files(manifest: DataFrame, segments: bool, with_payload: bool = True) -
             if rows:
                 yield rows_batch(rows, RECORD_SCHEMA if segments else PAGE_SCHEMA)
 
-    return manifest.select("path").repartition("path").mapInArrow(read, RECORD_SCHEMA if segments else PAGE_SCHEMA)
+    return one_task_a_file(manifest.select("path")).mapInArrow(read, RECORD_SCHEMA if segments else PAGE_SCHEMA)
 
 
 def rows_batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
