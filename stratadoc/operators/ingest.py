@@ -60,13 +60,17 @@ def some(df: DataFrame) -> dict | None:
 def classify(parsed: DataFrame, stored: DataFrame, semantics: str = "reference") -> DataFrame:
     """parsed with entity_id, `repeat` (place among equal ids of the call) and its outcome against the stored records."""
     by_id = stored.select("record_id", F.col("record_hash").alias("_hash"), F.col("entity_id").alias("_stored_entity"))
-    targets = stored.select(F.col("record_id").alias("supersedes_id"), F.col("entity_id").alias("_inherited"))
-    df = parsed.join(by_id, "record_id", "left").join(targets, "supersedes_id", "left")
+    targets = stored.select(F.col("record_id").alias("_target"), F.col("entity_id").alias("_inherited"))
+    # most rows supersede nothing and bad lines have no id: keys of their own keep them from meeting in one task
+    own = F.concat(F.lit("line "), F.col("index").cast("string"))
+    df = parsed.withColumn("_key", F.coalesce("record_id", own)).withColumn("_target", F.coalesce("supersedes_id", own))
+    df = df.join(targets, "_target", "left").join(by_id.withColumnRenamed("record_id", "_key"), "_key", "left")
     entity = F.coalesce("explicit_entity_id", "_inherited", "record_id")
-    place = F.row_number().over(Window.partitionBy("record_id").orderBy("index"))
-    first_hash = F.first("record_hash").over(Window.partitionBy("record_id").orderBy("index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    same = Window.partitionBy("_key").orderBy("index")
+    place = F.row_number().over(same)
+    first_hash = F.first("record_hash").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     fine = F.col("error_id").isNull()
-    df = df.withColumn("entity_id", entity).withColumn("repeat", F.when(fine, place)).withColumn("_first_hash", first_hash)
+    df = df.withColumn("entity_id", entity).withColumn("repeat", F.when(fine, place)).withColumn("_first_hash", first_hash).drop("_key", "_target")
     known = F.coalesce("_hash", F.when(F.col("repeat") > 1, F.col("_first_hash")))
     return df.withColumn("error_id", F.when(~fine, F.col("error_id")).when(known.isNotNull() & (known != F.col("record_hash")), "bad_record.reusing_id")).withColumn(
         "already_present", fine & known.isNotNull() & (known == F.col("record_hash"))

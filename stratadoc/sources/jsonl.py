@@ -94,7 +94,7 @@ def file_batches(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
                     for k, (lines, final) in enumerate(batches_of(stream_lines(stream), limits.sync_batch_bytes)):
                         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int32()), pa.array([final]), pa.array([batch_digest(lines)]), pa.array(["\n".join(lines)])], names=["path", "batch", "final", "digest", "payload"])
 
-    return files.select("path").repartition("path").mapInArrow(run, BATCH_SCHEMA)
+    return files.select("path").repartition(max(1, files.count())).mapInArrow(run, BATCH_SCHEMA)
 
 
 def stream_lines(stream, chunk: int = 1 << 20) -> Iterator[str]:

@@ -34,17 +34,17 @@ class Store:
 
     # files through Spark's own file system layer, so that any store works
 
-    def _path(self, name: str):
+    def path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def _system(self):
-        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def filesystem(self):
+        return self.path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def _write_text(self, name: str, text: str, keep: bool = False) -> None:
-        path, system = self._path(name), self._system()
+        path, system = self.path(name), self.filesystem()
         if keep and system.exists(path):
             return
-        partial = self._path(f"{name}.partial")
+        partial = self.path(f"{name}.partial")
         out = system.create(partial, True)
         out.write(bytearray(text.encode()))
         out.close()
@@ -52,7 +52,7 @@ class Store:
             raise OSError(f"{path} is there already: another writer has committed")
 
     def commits(self) -> list[int]:
-        path, system = self._path("_commits"), self._system()
+        path, system = self.path("_commits"), self.filesystem()
         if not system.exists(path):
             return []
         names = [s.getPath().getName() for s in system.listStatus(path)]
@@ -63,7 +63,7 @@ class Store:
 
     def read(self, table: str, namespace: str | None = None) -> DataFrame:
         schema = SCHEMAS[table]
-        system = self._system()
+        system = self.filesystem()
         paths = [f"{self.root}/{table}/commit={n}" for n in self.commits()]
         paths = [p for p in paths if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p))]
         if not paths:
@@ -87,7 +87,7 @@ class Store:
         return f"{self.root}/_staging/{commit}-{name}"
 
     def drop_staging(self) -> None:
-        self._system().delete(self._path("_staging"), True)
+        self.filesystem().delete(self.path("_staging"), True)
 
     def collection(self, namespace: str, semantics: str | None = None) -> Collection:
         self.config.check_namespace(namespace)
@@ -97,8 +97,8 @@ class Store:
 
     def sizes(self) -> dict[str, int]:
         """Bytes on the file system by table."""
-        system = self._system()
-        return {t: (system.getContentSummary(self._path(t)).getLength() if system.exists(self._path(t)) else 0) for t in SCHEMAS}
+        system = self.filesystem()
+        return {t: (system.getContentSummary(self.path(t)).getLength() if system.exists(self.path(t)) else 0) for t in SCHEMAS}
 
 
 def with_superseded(records: DataFrame, semantics: str = "reference") -> DataFrame:

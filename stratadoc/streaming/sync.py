@@ -39,7 +39,7 @@ def sync_directory(store: Store, namespace: str, folder: str, target: str | None
     spark, target = store.spark, target or f"{store.root}/{namespace}"
     files = new_files(directory_files(spark, folder, pattern), store.read("synced_files", namespace), target)
     staged = store.staging(store.next_commit(), "sync")
-    system = store._system()
+    system = store.filesystem()
     for name in ("files", "batches"):
         system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}-{name}"), True)
     files.write.parquet(f"{staged}-files")
