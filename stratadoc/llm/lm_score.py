@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,10 @@ END = b"\n"  # no word holds white space
 HEAD_PARTS = 1 << 18
 CLASSES, CLASS_WORDS, HIDDEN = 32, 32, 16
 FORMS = 24
-WINDOW, LANES, BUFFER_TOKENS = 16, 256, 600_000
+WINDOW, LANES, BUFFER_TOKENS = 16, 512, 1_200_000
+#: For training, documents are cut into stretches of so many tokens, of which each starts from an empty state, so that lanes are
+#: of equal length; scoring carries the state through the whole document.
+STRETCH = 1024
 WARM_ROWS, WARM_ROUNDS = 1500, 2
 GROUP = 64
 COUNT_SCHEMA = "token binary, form int, n long"
@@ -120,9 +124,10 @@ class Network:
         v, m = self.views, len(y)
         classes = self.class_of(y)
         logits = states @ v["c"] + v["cb"]
-        logits -= logits.max(1, keepdims=True)
+        # clipped rather than shifted by each row's maximum: states are within one, so logits are small
+        np.clip(logits, -40, 40, out=logits)
         e = np.exp(logits)
-        total = e.sum(1)
+        total = e @ np.ones(e.shape[1], e.dtype)
         rows = np.arange(m)
         score = (logits[rows, classes] - np.log(total)).astype(np.float64)
         back = None
@@ -132,7 +137,7 @@ class Network:
             grads.views["c"] += states.T @ e
             grads.views["cb"] += e.sum(0)
             back = e @ v["c"].T
-        order = np.argsort(classes, kind="stable")
+        order = np.argsort(classes.astype(np.int16), kind="stable")  # of short integers: a radix sort
         cuts = np.searchsorted(classes[order], np.arange(self.word_classes + 1))
         for k in range(self.word_classes):
             at = order[cuts[k] : cuts[k + 1]]
@@ -140,9 +145,9 @@ class Network:
                 continue
             own = states[at]
             logits = own @ v["w"][k] + (v["wb"][k] + self.absent[k])
-            logits -= logits.max(1, keepdims=True)
+            np.clip(logits, -40, 40, out=logits)
             e = np.exp(logits)
-            total = e.sum(1)
+            total = e @ np.ones(CLASS_WORDS, e.dtype)
             place, each = y[at] - k * CLASS_WORDS, np.arange(len(at))
             score[at] += logits[each, place] - np.log(total)
             if grads is not None:
@@ -171,7 +176,7 @@ class Network:
             grads.views["b"] += inner.sum(0)
             carried = (d * z + inner @ v["u"].T) * keep[t][:, None]
         symbols = x.ravel()
-        order = np.argsort(symbols, kind="stable")
+        order = np.argsort(symbols.astype(np.int16), kind="stable")
         cuts = np.flatnonzero(np.diff(symbols[order], prepend=-1))
         grads.views["x"][symbols[order][cuts]] += np.add.reduceat(gates.reshape(-1, 3 * n)[order], cuts, axis=0)
 
@@ -195,7 +200,8 @@ class Adam:
 class Lanes:
     """Documents side by side: each lane holds some, one after another; longer lanes come first."""
 
-    def __init__(self, docs: list[np.ndarray], start: int, most: int = LANES):
+    def __init__(self, docs: list[np.ndarray], start: int, most: int = LANES, firsts: list[int] | None = None):
+        """firsts: the symbol that each document is entered by, by default the start."""
         n = max(1, min(most, len(docs)))
         heap = [(0, k) for k in range(n)]
         members: list[list[int]] = [[] for _ in range(n)]
@@ -210,7 +216,8 @@ class Lanes:
         self.y = np.concatenate([docs[i] for i in ordered]) if ordered else np.empty(0, np.int32)
         self.doc = np.repeat(ordered, [len(docs[i]) for i in ordered])
         self.fresh = np.diff(self.doc, prepend=-1) != 0
-        self.x = np.where(self.fresh, start, np.concatenate([[start], self.y[:-1]]).astype(np.int64))
+        entered = start if firsts is None else np.array(firsts)[self.doc]
+        self.x = np.where(self.fresh, entered, np.concatenate([[start], self.y[:-1]]).astype(np.int64))
         self.begin = np.cumsum(self.load) - self.load
 
     def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -258,8 +265,10 @@ class Vocabulary:
     def __init__(self, head: list[tuple[bytes, int, int]], forms: dict[int, tuple[int, int]], n: int, v: int):
         head = sorted(head, key=lambda x: (-x[1], x[0]))
         self.n_words = min(len(head), CLASSES * CLASS_WORDS)
-        self.symbols = {token: i if i < self.n_words else self.n_words + form for i, (token, _, form) in enumerate(head)}
-        self.counts = {token: c for token, c, _ in head}
+        self.place = {token: i for i, (token, _, _) in enumerate(head)}
+        # one more entry, for words that are not in the head
+        self.symbols = np.array([i if i < self.n_words else self.n_words + form for i, (_, _, form) in enumerate(head)] + [0], np.int32)
+        self.logs = np.array([np.log10(c + 0.5) for _, c, _ in head] + [0.0])
         self.n, self.v = n, v
         sums = {k: list(forms.get(k, (0, 0))) for k in range(FORMS)}
         for _, c, form in head[: self.n_words]:
@@ -267,25 +276,13 @@ class Vocabulary:
             sums[form][1] -= 1
         self.form_log = np.array([np.log10(sums[k][0] + 0.5 * (sums[k][1] + 1)) for k in range(FORMS)])
 
-    def encode(self, tokens: list[bytes]) -> np.ndarray:
-        get, words = self.symbols.get, self.n_words
-        return np.fromiter((s if (s := get(t)) is not None else words + form_of(t) for t in tokens), np.int32, len(tokens))
-
-
-def buffers(batches: Iterator[pa.RecordBatch], text_at: int, tokens: int = BUFFER_TOKENS) -> Iterator[tuple[list, list[list[bytes]]]]:
-    """(first column's values, token lists) of about `tokens` tokens at a time."""
-    ids, docs, held = [], [], 0
-    for batch in batches:
-        for value, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(text_at)), strict=True):
-            words = tokens_of(text)
-            ids.append(value)
-            docs.append(words)
-            held += len(words)
-            if held >= tokens:
-                yield ids, docs
-                ids, docs, held = [], [], 0
-    if docs:
-        yield ids, docs
+    def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(symbols, places in the head or -1, the words that are not in the head)."""
+        places = np.fromiter(map(self.place.get, tokens, repeat(-1)), np.int32, len(tokens))
+        symbols, out = self.symbols[places], np.flatnonzero(places < 0)
+        tail = [tokens[i] for i in out.tolist()]
+        symbols[out] = np.fromiter(map(form_of, tail), np.int32, len(tail)) + self.n_words
+        return symbols, places, tail
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +302,23 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flushed()
 
 
+def training_buffers(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, start: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """(stretches, the symbol before each) of about BUFFER_TOKENS tokens at a time."""
+    stretches, firsts, held = [], [], 0
+    for batch in batches:
+        for text in texts_of(batch.column(1)):
+            symbols = vocabulary.encode(tokens_of(text))[0]
+            for at in range(0, len(symbols), STRETCH):
+                stretches.append(symbols[at : at + STRETCH])
+                firsts.append(int(symbols[at - 1]) if at else start)
+            held += len(symbols)
+            if held >= BUFFER_TOKENS:
+                yield stretches, firsts
+                stretches, firsts, held = [], [], 0
+    if stretches:
+        yield stretches, firsts
+
+
 def train_tasks(vocabulary: Vocabulary, flat: np.ndarray | None, rounds: int, rate: float):
     """A task's copy of the model, trained on all texts that it reads: (task, tokens, weights)."""
 
@@ -313,9 +327,8 @@ def train_tasks(vocabulary: Vocabulary, flat: np.ndarray | None, rounds: int, ra
 
         network = Network(vocabulary.n_words, None if flat is None else flat.copy())
         adam, seen = Adam(network, rate), 0
-        for _, docs in buffers(batches, 1):
-            symbols = [vocabulary.encode(d) for d in docs]
-            lanes = Lanes(symbols, network.start)
+        for stretches, firsts in training_buffers(batches, vocabulary, network.start):
+            lanes = Lanes(stretches, network.start, firsts=firsts)
             for _ in range(rounds):
                 lanes.train(network, adam)
             seen += len(lanes.y)
@@ -370,40 +383,41 @@ def score_parts(vocabulary: Vocabulary, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        network, row = Network(vocabulary.n_words, flat.copy()), TaskContext.get().partitionId() << 33
-        counts, words = vocabulary.counts, vocabulary.n_words
-        log10 = {t: float(np.log10(c + 0.5)) for t, c in counts.items()}
-        for ids, docs in buffers(batches, 1):
-            symbols = [vocabulary.encode(d) for d in docs]
-            logs = Lanes(symbols, network.start).score(network, len(docs)) / np.log(10)
+        network, row, words = Network(vocabulary.n_words, flat.copy()), TaskContext.get().partitionId() << 33, vocabulary.n_words
+        held: list[tuple] = []
+        n_held = 0
+
+        def scored() -> Iterator[pa.RecordBatch]:
+            nonlocal row
+            logs = Lanes([h[1] for h in held], network.start).score(network, len(held)) / np.log(10)
             columns: list[list] = [[] for _ in range(8)]
-            for doc_id, tokens, own, log in zip(ids, docs, symbols, logs.tolist(), strict=True):
-                # words in the classes of form take their smoothed counts; head ones are known here
-                forms = own[own >= words] - words
-                rest = log - float(vocabulary.form_log[forms].sum())
-                head_sum, known, tail = 0.0, 0, []
-                for t, n in Counter(tokens).items():
-                    value = log10.get(t)
-                    if value is None:
-                        tail.append((t, n))
-                        continue
-                    head_sum += n * value
-                    known += n
-                    if vocabulary.symbols[t] >= words:
-                        rest += n * value
-                for column, value in zip(columns, (row, doc_id, None, None, len(tokens), known, head_sum, rest), strict=True):
+            for (doc_id, symbols, known, head_sum, rest, tail), log in zip(held, logs.tolist(), strict=True):
+                n = len(tail)
+                for column, value, more in zip(columns, (row, doc_id, None, None, len(symbols), known, head_sum, rest + log), ([row] * n, [None] * n, tail.keys(), tail.values(), *[[None] * n] * 4), strict=True):
                     column.append(value)
-                for t, n in tail:
-                    for column, value in zip(columns[:4], (row, None, t, n), strict=True):
-                        column.append(value)
-                for column in columns[4:]:
-                    column.extend([None] * len(tail))
+                    column.extend(more)
                 row += 1
                 if len(columns[0]) > 50_000:
                     yield parts_batch(columns)
                     columns = [[] for _ in range(8)]
             yield parts_batch(columns)
 
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+                symbols, places, tail = vocabulary.encode(tokens_of(text))
+                logs = vocabulary.logs[places]  # zero outside the head
+                # words in the classes of form take their smoothed counts within the class
+                formed = symbols >= words
+                rest = float(logs[formed].sum() - vocabulary.form_log[symbols[formed] - words].sum())
+                held.append((doc_id, symbols, len(symbols) - len(tail), float(logs.sum()), rest, Counter(tail)))
+                n_held += len(symbols)
+                if n_held >= BUFFER_TOKENS:
+                    yield from scored()
+                    held.clear()
+                    n_held = 0
+        if held:
+            yield from scored()
+
     return run
 
 
