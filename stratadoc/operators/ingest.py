@@ -40,16 +40,16 @@ def summary(status: DataFrame) -> DataFrame:
     return status.agg(total.alias("num_records"), n("ok").alias("num_ok"), n("already_present").alias("num_already_present"), n("inserted").alias("num_inserted"), (total - n("ok")).alias("num_error"), (total == n("ok")).alias("all_ok"))
 
 
-def status_ranges(status: DataFrame) -> DataFrame:
+def status_ranges(status: DataFrame, *by: str) -> DataFrame:
     """Runs of consecutive items that are alike in (ok, error_id): index, count, ok, first_uuid, error_id.
 
-    For the items of one request, whose number is limited; the window orders them all.
+    For the items of one request, whose number is limited, or of each request by the columns `by`; the window orders them all.
     """
-    order = Window.orderBy("index")
+    order = Window.partitionBy(*by).orderBy("index")
     new = ~(F.lag("ok").over(order).eqNullSafe(F.col("ok")) & F.lag("error_id").over(order).eqNullSafe(F.col("error_id")))
     runs = status.withColumn("_new", (new | (F.row_number().over(order) == 1)).cast("int")).withColumn("_run", F.sum("_new").over(order))
-    out = runs.groupBy("_run").agg(F.min("index").alias("index"), F.count(F.lit(1)).alias("count"), F.first("ok").alias("ok"), F.min_by("record_id", "index").alias("first_uuid"), F.first("error_id").alias("error_id"))
-    return out.select("index", "count", "ok", F.when(F.col("ok"), F.col("first_uuid")).alias("first_uuid"), "error_id").orderBy("index")
+    out = runs.groupBy(*by, "_run").agg(F.min("index").alias("index"), F.count(F.lit(1)).alias("count"), F.first("ok").alias("ok"), F.min_by("record_id", "index").alias("first_uuid"), F.first("error_id").alias("error_id"))
+    return out.select(*by, "index", "count", "ok", F.when(F.col("ok"), F.col("first_uuid")).alias("first_uuid"), "error_id").orderBy("index")
 
 
 def some(df: DataFrame) -> dict | None:

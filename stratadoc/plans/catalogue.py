@@ -207,7 +207,17 @@ def record_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("timestamp_interpret", "select s.unit, event_id, case s.unit when 'number_s' then epoch_us(date_trunc('second', ts)) when 'string_s' then epoch_us(date_trunc('second', ts)) when 'string_ms' then epoch_us(date_trunc('second', ts)) when 'rfc' then epoch_us(ts) end micros from events, (values ('number_s'), ('string_s'), ('string_ms'), ('rfc')) s(unit) where event_id < 1000")
 def timestamp_interpret(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read(spark, sf_dir, "events").where("event_id < 1000").withColumn("s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("string"))
+    return interpreted(read(spark, sf_dir, "events").where("event_id < 1000"))
+
+
+@add("timestamp_interpret_whole", "select s.unit, event_id, case s.unit when 'rfc' then epoch_us(ts) else epoch_us(date_trunc('second', ts)) end micros from events, (values ('number_s'), ('string_s'), ('string_ms'), ('rfc')) s(unit)")
+def timestamp_interpret_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpreted(read(spark, sf_dir, "events"))
+
+
+def interpreted(events: DataFrame) -> DataFrame:
+    """(unit, event_id, micros) of each event's time in four forms, as parsed."""
+    e = events.withColumn("s", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("string"))
     forms = F.array(*(F.struct(F.lit(k).alias("unit"), v.alias("t")) for k, v in (("number_s", F.col("s")), ("string_s", F.concat(F.lit('"'), "s", F.lit('"'))), ("string_ms", F.concat(F.lit('"'), "s", F.lit('123"'))), ("rfc", F.date_format("ts", "\"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z\"'".replace('"yyyy', "'\"'yyyy"))))))
     df = e.select("event_id", F.inline(forms))
     line = F.concat(F.lit('{"id":"'), named("event", "event_id"), F.lit('","n":'), F.col("event_id").cast("string"), F.lit(',"unit":"'), "unit", F.lit('","time":'), "t", F.lit("}"))
@@ -216,12 +226,12 @@ def timestamp_interpret(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.get_json_object("record_data", "$.unit").alias("unit"), F.get_json_object("record_data", "$.n").cast("long").alias("event_id"), F.unix_micros("record_timestamp").alias("micros"))
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, bound: str = "index < 2000") -> DataFrame:
     """Item statuses of a call in which every seventh event is stored, every 50th has another body and every 60th line is cut."""
-    lines = lines_of(spark, sf_dir, "events").where("index < 2000")
-    lines = lines.withColumn("line", F.when(F.col("index") % 60 == 59, F.substring("line", 1, 20)).otherwise(F.col("line")))
+    every = lines_of(spark, sf_dir, "events").where(bound)
+    lines = every.withColumn("line", F.when(F.col("index") % 60 == 59, F.substring("line", 1, 20)).otherwise(F.col("line")))
     p = parse_lines(lines, "events")
-    stored = parse_lines(lines_of(spark, sf_dir, "events").where("index < 2000 and index % 7 = 0"), "events")
+    stored = parse_lines(every.where("index % 7 = 0"), "events")
     other = F.when(F.expr("index % 50 = 0"), "another").otherwise(F.col("record_hash"))
     stored = stored.select("record_id", other.alias("record_hash"), F.col("record_id").alias("entity_id"))
     done = ingest.classify(p, stored)
@@ -246,6 +256,26 @@ def ingest_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.status_ranges(items(spark, sf_dir))
 
 
+#: All events, as calls of so many lines each: the runs of a call are found in one task, which a limit on its lines allows.
+CALL_LINES = 2000
+WHOLE_ITEMS = ITEMS.removesuffix(" where event_id < 2000")
+
+
+@add("ingest_status_whole", f"select *, error_id is null ok from ({WHOLE_ITEMS})")
+def ingest_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items(spark, sf_dir, "true")
+
+
+@add("ingest_summary_whole", f"select count(*) num_records, count(*) filter (error_id is null) num_ok, count(*) filter (already_present) num_already_present, count(*) filter (inserted) num_inserted, count(*) filter (error_id is not null) num_error, bool_and(error_id is null) all_ok from ({WHOLE_ITEMS})")
+def ingest_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.summary(items(spark, sf_dir, "true"))
+
+
+@add("ingest_ranges_whole", f"select call, min(index) as index, count(*) as count, error_id is null ok, case when error_id is null then min_by(record_id, index) end first_uuid, error_id from (select *, index // {CALL_LINES} as call, index - row_number() over (partition by index // {CALL_LINES}, error_id order by index) run from ({WHOLE_ITEMS})) group by call, error_id, run")
+def ingest_ranges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.status_ranges(items(spark, sf_dir, "true").withColumn("call", F.expr(f"index div {CALL_LINES}")), "call")
+
+
 @add("entity_inheritance", f"select {E} record_id, {uid('user', 'user_id')} entity_id, rank from (select *, row_number() over (partition by user_id order by ts, event_id) rank from events) where rank = 2")
 def entity_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = parsed(spark, sf_dir, "history").withColumn("bare", F.lit(None).cast("string"))
@@ -288,13 +318,48 @@ def batch_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("manifest_delta", "select 'f' || event_id path, event_id size from events where event_id < 500 and (event_id % 2 = 1 or event_id % 6 = 0)")
 def manifest_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed_files(read(spark, sf_dir, "events").where("event_id < 500"))
+
+
+@add("manifest_delta_whole", "select 'f' || event_id path, event_id size from events where event_id % 2 = 1 or event_id % 6 = 0")
+def manifest_delta_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changed_files(read(spark, sf_dir, "events"))
+
+
+def changed_files(events: DataFrame) -> DataFrame:
+    """(path, size) of a file per event that the manifest lacks: it knows the even ones, every third of these by another size."""
     from stratadoc.streaming.sync import new_files
 
-    files = read(spark, sf_dir, "events").where("event_id < 500").select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.col("ts").alias("mtime"), F.col("event_id").alias("size"))
+    files = events.select(F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("path"), F.col("ts").alias("mtime"), F.col("event_id").alias("size"))
     known = files.where("size % 2 = 0").withColumn("size", F.when(F.col("size") % 6 == 0, F.col("size") + 1).otherwise(F.col("size"))).withColumn("target", F.lit("t"))
     return new_files(files, known, "t").select("path", "size")
 
 
+#: Lines of one length, so that SQL knows where the splitter cuts: BATCH_LINES of them and their line ends.
+FILE_EVENTS, BATCH_LINES, SEQ_DIGITS = 100_000, 500, 20
+BATCHED = f"select event_type, event_id // {FILE_EVENTS} as part, event_id, '{{\"seq\":\"' || lpad(cast(event_id as varchar), {SEQ_DIGITS}, '0') || '\"}}' line, (row_number() over (partition by event_type, event_id // {FILE_EVENTS} order by event_id) - 1) // {BATCH_LINES} as batch from events"
+
+
+@add("batch_digest_whole", f"select event_type, cast(part as bigint) part, cast(batch as bigint) batch, batch = max(batch) over (partition by event_type, part) final, n, digest from (select event_type, part, batch, count(*) n, sha256(string_agg(line, chr(10) order by event_id)) digest from ({BATCHED}) group by event_type, part, batch)")
+def batch_digest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as JSONL files by type and id range, cut into bounded batches by the splitter of directory syncs."""
+    import uuid
+
+    from stratadoc.config import Limits
+    from stratadoc.plans.builders import base_folder
+    from stratadoc.sources.jsonl import file_batches
+
+    folder = f"{base_folder(spark)}/batches-{uuid.uuid4().hex}"
+    line = F.concat(F.lit('{"seq":"'), F.lpad(F.col("event_id").cast("string"), SEQ_DIGITS, "0"), F.lit('"}'))
+    e = read(spark, sf_dir, "events").select("event_type", F.expr(f"event_id div {FILE_EVENTS}").alias("part"), "event_id", line.alias("value"))
+    e.repartition("event_type", "part").sortWithinPartitions("event_type", "part", "event_id").drop("event_id").write.partitionBy("event_type", "part").text(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    width = len('{"seq":""}') + SEQ_DIGITS
+    cut = file_batches(files, Limits(sync_batch_bytes=BATCH_LINES * (width + 1) - 1))
+    n = F.size(F.split("payload", "\n")).cast("long").alias("n")
+    return cut.select(F.regexp_extract("path", "/event_type=([^/]*)/", 1).alias("event_type"), F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("long").alias("part"), F.col("batch").cast("long").alias("batch"), "final", n, "digest")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
