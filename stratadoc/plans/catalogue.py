@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratadoc.operators import ingest
@@ -199,6 +199,31 @@ def shape_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir, "optional").where("get_json_object(record_data, '$.big') is null").groupBy("shape_hash").agg(F.count(F.lit(1)).alias("n"))
 
 
+def optional_forms(each: Callable[[list[str]], str]) -> str:
+    """SQL: a CASE over the forms of the records in `optional`; each: the result for a form's keys, in order."""
+    forms = [("event_id % 11 = 0", ["big"]), ("event_id % 11 <> 0", [])], [("event_id % 2 = 0", ["even"]), ("event_id % 2 = 1", [])]
+    return "case " + " ".join(f"when {a} and {b} then {each([*x, *y, 'record_id', 'seq', 'timestamp'])}" for a, x in forms[0] for b, y in forms[1]) + " end"
+
+
+@add("shape_hash_whole", f"select {optional_forms(lambda keys: 'sha256(' + ' || '.join(f'{chr(39)}.{k}{chr(39)} || chr(10)' for k in keys) + ')')} shape_hash, count(*) n from events group by 1")
+def shape_hash_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(spark, sf_dir, "optional").groupBy("shape_hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+OPTIONAL_VALUES = {
+    "big": "'\"' || repeat('x', 1100) || '\"'",
+    "even": "case when event_id % 5 = 0 then 'null' else cast(event_id % 7 as varchar) end",
+    "record_id": f"'\"' || {E} || '\"'",
+    "seq": "event_id",
+    "timestamp": "'\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z\"'",
+}
+
+
+@add("record_hash_whole", f"select {E} record_id, {optional_forms(lambda keys: 'sha256(' + chr(39) + '{' + chr(39) + ' || ' + (' || ' + chr(39) + ',' + chr(39) + ' || ').join(f'{chr(39)}{chr(34)}{k}{chr(34)}:{chr(39)} || {OPTIONAL_VALUES[k]}' for k in keys) + ' || ' + chr(39) + '}' + chr(39) + ')')} record_hash from events")
+def record_hash_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(spark, sf_dir, "optional").select("record_id", "record_hash")
+
+
 @add("record_hash", f"select {E} record_id, sha256('{{\"record_id\":\"' || {E} || '\",\"seq\":' || event_id || ',\"timestamp\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z\"}}') record_hash from events where event_id % 2 = 1 and event_id % 11 <> 0")
 def record_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "seq % 2 = 1 and seq % 11 <> 0"
@@ -286,6 +311,19 @@ def entity_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "entity_id", F.lit(2).cast("long").alias("rank"))
 
 
+@add("entity_inheritance_whole", f"select {E} record_id, {uid('user', 'user_id')} entity_id, row_number() over (partition by user_id order by ts, event_id) rank from events")
+def entity_inheritance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version against the one it supersedes, along each entity's chain; the first keeps the id it states."""
+    versions = parsed(spark, sf_dir, "history")
+    rank = F.row_number().over(Window.partitionBy("explicit_entity_id").orderBy("record_timestamp", "index")).cast("long")
+    ranked = versions.withColumn("rank", rank)
+    superseded = versions.join(versions.select(F.col("supersedes_id").alias("record_id")), "record_id", "left_semi")
+    stored = superseded.select("record_id", "record_hash", F.col("explicit_entity_id").alias("entity_id"))
+    # as if later versions had no entity id of their own
+    bare = ranked.withColumn("explicit_entity_id", F.when(F.col("supersedes_id").isNull(), F.col("explicit_entity_id")))
+    return ingest.classify(bare, stored).select("record_id", "entity_id", "rank")
+
+
 @add("superseded_view", f"select {E} record_id, not latest is_superseded from ({HISTORY})")
 def superseded_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection(spark, sf_dir, "history").records.select("record_id", "is_superseded")

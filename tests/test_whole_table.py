@@ -55,3 +55,32 @@ def test_batches_go_through_the_splitter(spark, folder):
 
 def test_manifest(spark, folder):
     assert sorted(r["size"] for r in run(spark, folder, "manifest_delta_whole")) == [i for i in IDS if i % 2 or i % 6 == 0]
+
+
+def uid(text):
+    import uuid
+
+    return str(uuid.UUID(hashlib.md5(text.encode()).hexdigest()))
+
+
+def test_hashes_of_all_forms(spark, folder):
+    import json
+
+    want, shapes = {}, defaultdict(int)
+    for i in IDS:
+        time = datetime(2024, 1, 1) + timedelta(seconds=i, microseconds=i % 1000)
+        doc = {"big": "x" * 1100} if i % 11 == 0 else {}
+        doc |= {"even": None if i % 5 == 0 else i % 7} if i % 2 == 0 else {}
+        doc |= {"record_id": uid(f"event:{i}"), "seq": i, "timestamp": time.strftime("%Y-%m-%dT%H:%M:%S.%fZ")}
+        want[doc["record_id"]] = hashlib.sha256(json.dumps(doc, separators=(",", ":")).encode()).hexdigest()
+        shapes[hashlib.sha256("".join(f".{k}\n" for k in doc).encode()).hexdigest()] += 1
+    assert {r.record_id: r.record_hash for r in run(spark, folder, "record_hash_whole")} == want
+    assert {r.shape_hash: r.n for r in run(spark, folder, "shape_hash_whole")} == shapes
+
+
+def test_every_version_inherits(spark, folder):
+    want, seen = set(), defaultdict(int)
+    for i in IDS:
+        seen[i % 5] += 1
+        want.add((uid(f"event:{i}"), uid(f"user:{i % 5}"), seen[i % 5]))
+    assert {tuple(r) for r in run(spark, folder, "entity_inheritance_whole")} == want
