@@ -6,7 +6,7 @@ lacks for the present rule version, scans each of these once, appends them, and
 back to every row that holds the blob. Running again over old and new versions scans only the new ones; a
 changed rule set has another version and scans everything anew.
 
-Rules: `assign`, `access` and `hex` as the base, then rules of our own (private key blocks, web
+Rules: `assign`, `access` and `hex` as the base, then rules of our own (whole private key blocks, web
 tokens, service tokens, credentials within URLs). Within a kind, matches are leftmost and do not overlap;
 matches that fail a kind's length test are dropped after matching, so they still use up their text.
 Offsets count code points, ends are exclusive.
@@ -34,11 +34,15 @@ BASE_RULES = {
     "access": (re.compile(r"AKIA[A-Z0-9]{12,}"), 0, 16),  # a run of under 16 fails as a whole
     "hex": (re.compile(r"[0-9a-f]{32,}"), 0, 32),
 }
+# A key block goes to its END line, but not past another BEGIN; without one, on through the base64 that follows. Line ends may be escaped.
+KEY_NAME, EOL, BASE64 = r"[A-Z ]{0,40}PRIVATE KEY-----", r"(?:\r?\n|\r|(?:\\r)?\\n)", r"[A-Za-z0-9+/=]"
+TO_END = rf"(?:(?!-----BEGIN )[\s\S])*?-----END {KEY_NAME}"
+NO_END = rf"(?:{EOL}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:(?:{EOL}|[\x20\t>])*{BASE64}{{16,}})*(?:{EOL}{BASE64}{{1,15}}(?={EOL}|\Z))*"
 ADDED_RULES = {
-    "private_key": (re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), 0, 0),
+    "private_key": (re.compile(rf"-----BEGIN {KEY_NAME}(?:{TO_END}|{NO_END})"), 0, 0),
     "web_token": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
     "service_token": (re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"), 0, 0),
-    "url_login": (re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{3,100}@"), 0, 0),
+    "url_login": (re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/@]{3,}@"), 0, 0),
 }
 RULES = BASE_RULES | ADDED_RULES
 RULE_VERSION = hashlib.sha256("\n".join(f"{k} {r.pattern} {r.flags} {g} {n}" for k, (r, g, n) in RULES.items()).encode()).hexdigest()[:16]
