@@ -4,10 +4,11 @@ Counts. Every training token is counted (per task first, then by word). Words th
 training tokens are the head: by their share there are at most 2^18 of them, so they may be sent to every task. All
 other words are the tail, and their counts are joined by word.
 
-Model. A GRU reads words; its output is factored by class. The `CLASSES` x `CLASS_WORDS` commonest words are in
-word classes, by frequency, with a softmax within each; every other word is in a class of form (its last sign,
+Model. A GRU reads words; its output is factored by class. All words of the head are in word classes, by frequency,
+about as many classes as words in each, with a softmax within each; every other word is in a class of form (its last sign,
 its length, whether it is ASCII), within which its probability is its smoothed count. P(word) = P(class | state)
-P(word | class, state), which adds up to one over known words and one unknown word per class of form.
+P(word | class, state), which adds up to one over known words and one unknown word per class of form. Biases start from
+the counts, so that rare words start as what they were counted as.
 
 Training. One task starts the model from at most `WARM_ROWS` documents (those with the smallest hash of doc_id);
 then every task trains a copy on all training documents it reads, by backpropagation truncated to windows of
@@ -37,14 +38,15 @@ from stratadoc.llm.shared import hash_fold, shared_folder, texts_of
 
 END = b"\n"  # no word holds white space
 HEAD_PARTS = 1 << 18
-CLASSES, CLASS_WORDS, HIDDEN = 32, 32, 16
+LEAST_CLASS_WORDS, HIDDEN = 32, 16
 FORMS = 24
 WINDOW, LANES, BUFFER_TOKENS = 16, 512, 1_200_000
 #: For training, documents are cut into stretches of so many tokens, of which each starts from an empty state, so that lanes are
 #: of equal length; scoring carries the state through the whole document.
 STRETCH = 1024
 WARM_ROWS, WARM_ROUNDS = 1500, 2
-GROUP = 64
+GROUP, PART_FLOATS = 64, 1 << 16
+WEIGHT_SCHEMA = "task long, part int, n long, weights binary"
 COUNT_SCHEMA = "token binary, form int, n long"
 PART_SCHEMA = "row long, doc_id long, token binary, n long, n_tokens long, n_known long, head_sum double, rest double"
 
@@ -77,11 +79,12 @@ class Network:
 
     def __init__(self, n_words: int, flat: np.ndarray | None = None, seed: int = 11):
         self.n_words = n_words
-        self.word_classes = -(-n_words // CLASS_WORDS)
+        self.class_words = max(LEAST_CLASS_WORDS, int(np.ceil(np.sqrt(n_words))))
+        self.word_classes = -(-n_words // self.class_words)
         self.n_classes = self.word_classes + FORMS
         self.start = n_words + FORMS
         h = HIDDEN
-        shapes = {"x": (self.start + 1, 3 * h), "u": (h, 3 * h), "b": (3 * h,), "c": (h, self.n_classes), "cb": (self.n_classes,), "w": (self.word_classes, h, CLASS_WORDS), "wb": (self.word_classes, CLASS_WORDS)}
+        shapes = {"x": (self.start + 1, 3 * h), "u": (h, 3 * h), "b": (3 * h,), "c": (h, self.n_classes), "cb": (self.n_classes,), "w": (self.word_classes, h, self.class_words), "wb": (self.word_classes, self.class_words)}
         total = sum(int(np.prod(s)) for s in shapes.values())
         if flat is None:
             rng = np.random.default_rng(seed)
@@ -92,15 +95,25 @@ class Network:
             self.views[name] = flat[at : at + n].reshape(s)
             at += n
         # places of the last word class that no word has
-        self.absent = np.zeros((self.word_classes, CLASS_WORDS), np.float32)
-        if n_words % CLASS_WORDS:
-            self.absent[-1, n_words % CLASS_WORDS :] = -1e9
+        self.absent = np.zeros((self.word_classes, self.class_words), np.float32)
+        if n_words % self.class_words:
+            self.absent[-1, n_words % self.class_words :] = -1e9
 
     def zeros(self) -> Network:
         return Network(self.n_words, np.zeros_like(self.flat))
 
+    def start_from(self, vocabulary: Vocabulary) -> Network:
+        """Sets the biases to the logarithms of the counts of classes, and of words within them."""
+        counts = np.zeros(self.word_classes * self.class_words)
+        counts[: self.n_words] = vocabulary.counts[: self.n_words] + 0.5
+        counts = counts.reshape(self.word_classes, self.class_words)
+        logs = np.concatenate([np.log(counts.sum(1)), vocabulary.form_log * np.log(10)])
+        self.views["cb"][:] = logs - logs.max()
+        self.views["wb"][:] = np.log(np.maximum(counts, 0.5) / np.maximum(counts.max(1, keepdims=True, initial=0.5), 0.5))
+        return self
+
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
-        return np.where(symbols < self.n_words, symbols // CLASS_WORDS, self.word_classes + symbols - self.n_words)
+        return np.where(symbols < self.n_words, symbols // self.class_words, self.word_classes + symbols - self.n_words)
 
     def steps(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
         """States after each step of symbols x (steps, lanes) from state h, and what the way back needs."""
@@ -147,8 +160,8 @@ class Network:
             logits = own @ v["w"][k] + (v["wb"][k] + self.absent[k])
             np.clip(logits, -40, 40, out=logits)
             e = np.exp(logits)
-            total = e @ np.ones(CLASS_WORDS, e.dtype)
-            place, each = y[at] - k * CLASS_WORDS, np.arange(len(at))
+            total = e @ np.ones(self.class_words, e.dtype)
+            place, each = y[at] - k * self.class_words, np.arange(len(at))
             score[at] += logits[each, place] - np.log(total)
             if grads is not None:
                 e /= total[:, None] * m
@@ -176,7 +189,7 @@ class Network:
             grads.views["b"] += inner.sum(0)
             carried = (d * z + inner @ v["u"].T) * keep[t][:, None]
         symbols = x.ravel()
-        order = np.argsort(symbols.astype(np.int16), kind="stable")
+        order = np.argsort(symbols.astype(np.int16 if self.start < 1 << 15 else np.int32), kind="stable")
         cuts = np.flatnonzero(np.diff(symbols[order], prepend=-1))
         grads.views["x"][symbols[order][cuts]] += np.add.reduceat(gates.reshape(-1, 3 * n)[order], cuts, axis=0)
 
@@ -185,16 +198,27 @@ class Adam:
     def __init__(self, network: Network, rate: float):
         self.network, self.rate, self.step = network, rate, 0
         self.first, self.second = np.zeros_like(network.flat), np.zeros_like(network.flat)
+        self.work = np.empty_like(network.flat)
 
     def update(self, grad: np.ndarray) -> None:
         self.step += 1
         norm = float(np.sqrt(grad @ grad))
         if norm > 1:
-            grad = grad / np.float32(norm)
-        self.first += np.float32(0.1) * (grad - self.first)
-        self.second += np.float32(0.002) * (grad * grad - self.second)
-        size = np.float32(self.rate / (1 - 0.9**self.step))
-        self.network.flat -= size * self.first / (np.sqrt(self.second / np.float32(1 - 0.998**self.step)) + np.float32(1e-6))
+            grad *= np.float32(1 / norm)
+        work = self.work
+        self.first *= np.float32(0.9)
+        np.multiply(grad, np.float32(0.1), out=work)
+        self.first += work
+        self.second *= np.float32(0.998)
+        np.multiply(grad, grad, out=work)
+        work *= np.float32(0.002)
+        self.second += work
+        np.multiply(self.second, np.float32(1 / (1 - 0.998**self.step)), out=work)
+        np.sqrt(work, out=work)
+        work += np.float32(1e-6)
+        np.divide(self.first, work, out=work)
+        work *= np.float32(self.rate / (1 - 0.9**self.step))
+        self.network.flat -= work
 
 
 class Lanes:
@@ -230,12 +254,12 @@ class Lanes:
             yield live, np.where(inside, self.begin[:live] + at, self.begin[:live]), inside
 
     def train(self, network: Network, adam: Adam) -> None:
-        h = np.zeros((len(self.load), HIDDEN), np.float32)
+        h, grads = np.zeros((len(self.load), HIDDEN), np.float32), network.zeros()
         for live, at, inside in self.windows():
             x, keep = self.x[at], 1 - self.fresh[at].astype(np.float32)
             states, trace = network.steps(x, keep, h[:live])
             h[:live] = states[-1]
-            grads = network.zeros()
+            grads.flat.fill(0)
             where = np.nonzero(inside)
             _, back = network.outputs(states[where], self.y[at[where]], grads)
             whole = np.zeros_like(states)
@@ -264,7 +288,8 @@ class Vocabulary:
 
     def __init__(self, head: list[tuple[bytes, int, int]], forms: dict[int, tuple[int, int]], n: int, v: int):
         head = sorted(head, key=lambda x: (-x[1], x[0]))
-        self.n_words = min(len(head), CLASSES * CLASS_WORDS)
+        self.n_words = len(head)
+        self.counts = np.array([c for _, c, _ in head], np.float64)
         self.place = {token: i for i, (token, _, _) in enumerate(head)}
         # one more entry, for words that are not in the head
         self.symbols = np.array([i if i < self.n_words else self.n_words + form for i, (_, _, form) in enumerate(head)] + [0], np.int32)
@@ -325,7 +350,7 @@ def train_tasks(vocabulary: Vocabulary, flat: np.ndarray | None, rounds: int, ra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        network = Network(vocabulary.n_words, None if flat is None else flat.copy())
+        network = Network(vocabulary.n_words).start_from(vocabulary) if flat is None else Network(vocabulary.n_words, flat.copy())
         adam, seen = Adam(network, rate), 0
         for stretches, firsts in training_buffers(batches, vocabulary, network.start):
             lanes = Lanes(stretches, network.start, firsts=firsts)
@@ -333,48 +358,49 @@ def train_tasks(vocabulary: Vocabulary, flat: np.ndarray | None, rounds: int, ra
                 lanes.train(network, adam)
             seen += len(lanes.y)
         if seen or flat is None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([network.flat.tobytes()], pa.binary())], names=["task", "n", "weights"])
+            for part, at in enumerate(range(0, len(network.flat), PART_FLOATS)):
+                yield weight_row(TaskContext.get().partitionId(), part, seen, network.flat[at : at + PART_FLOATS])
 
     return run
 
 
+def weight_row(task: int, part: int, n: int, weights: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["task", "part", "n", "weights"])
+
+
 def averaged(copies: DataFrame) -> DataFrame:
-    """One copy for each group of GROUP tasks: their mean, weighted by tokens."""
+    """One copy for each group of GROUP tasks: their mean, weighted by tokens, part by part, so that no task holds whole copies."""
 
-    def mean(key, groups):
+    def mean(key, table):
         total, mix = 0, None
-        for batch in groups:
-            for n, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                part = np.frombuffer(raw, np.float32).astype(np.float64) * n
-                total, mix = total + n, part if mix is None else mix + part
-        weights = (mix / max(total, 1)).astype(np.float32).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([total], pa.int64()), pa.array([weights], pa.binary())], names=["task", "n", "weights"])
+        for n, raw in zip(table.column("n").to_pylist(), table.column("weights"), strict=True):
+            part = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64) * n
+            total, mix = total + n, part if mix is None else mix + part
+        return pa.Table.from_batches([weight_row(key[0].as_py(), key[1].as_py(), total, mix / max(total, 1))])
+
+    return copies.withColumn("task", F.expr(f"task div {GROUP}")).groupBy("task", "part").applyInArrow(mean, WEIGHT_SCHEMA)
+
 
-    schema = "task long, n long, weights binary"
-    grouped = copies.select(F.expr(f"task div {GROUP}").alias("task"), "n", "weights").groupBy("task")
-    if hasattr(grouped, "applyInArrow"):
-        return grouped.applyInArrow(lambda key, t: pa.Table.from_batches(list(mean(key, t.to_batches()))), schema)
-    raise RuntimeError("grouped Arrow functions are needed")
+def joined_weights(rows: list) -> np.ndarray:
+    return np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(rows, key=lambda r: r.part)])
 
 
 def train(spark: SparkSession, training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """The model's weights after the warm start and one pass of all tasks over all training(doc_id, text)."""
     ids = training.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_ROWS).distinct()
     warm = training.join(F.broadcast(ids), "doc_id").select("doc_id", "text").repartition(1).sortWithinPartitions("doc_id", "text")
-    row = warm.mapInArrow(train_tasks(vocabulary, None, WARM_ROUNDS, 0.01), "task long, n long, weights binary").first()
-    flat = np.frombuffer(row.weights, np.float32) if row else Network(vocabulary.n_words).flat
-    copies = training.select("doc_id", "text").mapInArrow(train_tasks(vocabulary, flat, 1, 0.003), "task long, n long, weights binary")
-    folder = shared_folder(spark, "lm-weights")
-    copies = averaged(copies)
-    for level in range(3):  # up to GROUP ** 3 tasks end in few copies
+    rows = warm.mapInArrow(train_tasks(vocabulary, None, WARM_ROUNDS, 0.01), WEIGHT_SCHEMA).collect()
+    flat = joined_weights(rows) if rows else Network(vocabulary.n_words).start_from(vocabulary).flat
+    copies = averaged(training.select("doc_id", "text").mapInArrow(train_tasks(vocabulary, flat, 1, 0.003), WEIGHT_SCHEMA))
+    folder, level = shared_folder(spark, "lm-weights"), 0
+    while True:  # until one copy is left
         copies.write.parquet(f"{folder}/{level}")
-        copies = spark.read.parquet(f"{folder}/{level}")
-        if copies.count() <= GROUP:
+        copies, level = spark.read.schema(WEIGHT_SCHEMA).parquet(f"{folder}/{level}"), level + 1
+        if copies.where("task > 0").isEmpty():
             break
         copies = averaged(copies)
     rows = copies.collect()
-    total = sum(r.n for r in rows)
-    return (sum(np.frombuffer(r.weights, np.float32).astype(np.float64) * (r.n / total) for r in rows)).astype(np.float32) if total else flat
+    return joined_weights(rows) if sum(r.n for r in rows) else flat
 
 
 def score_parts(vocabulary: Vocabulary, flat: np.ndarray):
