@@ -12,7 +12,8 @@ the counts, so that rare words start as what they were counted as.
 
 Training. One task starts the model from at most `WARM_ROWS` documents (those with the smallest hash of doc_id);
 then every task trains a copy on all training documents it reads, by backpropagation truncated to windows of
-`WINDOW` steps, with the state carried from window to window through a document; the copies are averaged by their numbers of tokens, in
+`WINDOW` steps, with the state carried from window to window through a stretch of at most `STRETCH` tokens of a document;
+each stretch starts from an empty state, so later states are scored with but not trained; the copies are averaged by their numbers of tokens, in
 groups, so the driver receives a bounded number of them.
 
 Scoring. Documents run side by side in lanes; the state is carried across windows until a document ends, so every
