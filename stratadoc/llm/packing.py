@@ -104,7 +104,7 @@ class TierPacker:
 
 
 class StepGroups:
-    """Deals windows to groups of equal ids: longest / tier times as many of a tier as of the longest."""
+    """Deals a tier's windows to its groups of equal ids: longest / tier times as many as of the longest."""
 
     def __init__(self, longest: int, windows: int):
         self.longest, self.windows = longest, windows
@@ -127,7 +127,7 @@ def pack_documents(df: DataFrame, path: str | None = None, end_id: int = 1, long
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        encode = encoder(path).encode_all
         groups, rows, made = StepGroups(longest, group_windows), [], [0]
 
         def emit(tier: int, window: list[Piece]) -> None:
@@ -141,8 +141,7 @@ def pack_documents(df: DataFrame, path: str | None = None, end_id: int = 1, long
         packer = TierPacker(emit, longest, shortest)
         drained = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                ids = np.frombuffer(encode(text) + end, "<u4")
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch.column(1)), end_id), strict=True):
                 packer.route(Piece(doc_id, len(ids), 0, ids))
                 if packer.held - drained >= buffer_ids:
                     packer.drain()

@@ -146,8 +146,7 @@ def write_token_files(df: DataFrame, folder: str, path: str | None = None, end_i
 
         system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
-        encode, part = encoder(path).encode, TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        encode, part = encoder(path).encode_all, TaskContext.get().partitionId()
         out, name, seq = None, "", 0
 
         def closed():
@@ -155,11 +154,11 @@ def write_token_files(df: DataFrame, folder: str, path: str | None = None, end_i
             return pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "part": [part], "seq": [seq], "n_docs": [out.n_docs], "n_tokens": [out.n_tokens], "n_bytes": [size]})
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts_of(batch.column(1)), end_id), strict=True):
                 if out is None:
                     name = f"tokens-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.zst"
                     out = FileWriter(system.open_output_stream(f"{root}/{name}", compression=None), id_bytes, frame_ids)
-                out.add(doc_id, np.frombuffer(encode(text) + end, "<u4"))
+                out.add(doc_id, ids)
                 if out.n_tokens >= file_ids:
                     yield closed()
                     out, seq = None, seq + 1
