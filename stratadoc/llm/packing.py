@@ -8,8 +8,8 @@ is cut, and the rest of it goes to its own, shorter tier. Windows are thus full.
 at the end of a buffer is carried to the next one; at the end of a task it is cut into windows by powers of two, so at most
 one window a task, of under `shortest` ids, is padded.
 
-Sequences of each tier are dealt in turn to step groups that hold the same number of ids: a group takes
-longest / tier times as many windows of a tier as of the longest.
+Sequences of each tier are dealt in turn to step groups, each of one tier, that hold the same number of ids: a group takes
+longest / tier times as many windows of a tier as of the longest. A task's last group of each tier may hold fewer.
 
 Everything happens within a task, in the order in which the table is read: there is no shuffle, a task that
 is run again gives the same rows, and memory is bounded by one buffer of documents plus the longest text.
@@ -131,7 +131,7 @@ def pack_documents(df: DataFrame, path: str | None = None, end_id: int = 1, long
         groups, rows, made = StepGroups(longest, group_windows), [], [0]
 
         def emit(tier: int, window: list[Piece]) -> None:
-            sequence, offset, group = part << 33 | made[0], 0, part << 33 | groups.of(tier)
+            sequence, offset, group = part << 33 | made[0], 0, part << 33 | groups.of(tier) * len(packer.tiers) + packer.tiers.index(tier)
             made[0] += 1
             for p in window:
                 raw = p.ids.tobytes()

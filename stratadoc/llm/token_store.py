@@ -56,6 +56,8 @@ class FileWriter:
         self.offset = self.n_tokens = 0
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {int(ids.max())} does not fit into {self.dtype.itemsize} bytes")
         self._docs.append((doc_id or 0, doc_id is None, len(self._frames), self._held, len(ids)))
         self._parts.append(ids.astype(self.dtype))
         self._held += len(ids)

@@ -227,3 +227,48 @@ def test_empty_tables(spark):
     assert token_digests(spark, docs).count() == packed_pieces(docs).count() == span_digests(scan_documents(spark, docs)).count() == 0
     assert page_digests(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert read_back(format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_packed_step_groups_are_of_one_tier_and_equal_ids(spark):
+    """The column of the query: full groups hold the same ids, whatever their tier; only a task's last one of a tier may hold fewer."""
+    from stratadoc.llm.packing import packed_pieces
+
+    df = spark.createDataFrame([(i, "ab cd " * (37 * i % 900)) for i in range(1500)], "doc_id long, text string").coalesce(1)
+    rows = packed_pieces(df).collect()
+    ids, tiers = Counter(), defaultdict(set)
+    for r in rows:
+        ids[r.step_group] += r.length
+        tiers[r.step_group].add(r.tier)
+    assert all(len(t) == 1 for t in tiers.values()) and len({t for s in tiers.values() for t in s}) == 4
+    for tier in (2048, 1024, 512, 256):
+        of_tier = sorted(g for g, t in tiers.items() if t == {tier})
+        assert all(ids[g] == 8 * 2048 for g in of_tier[:-1])
+    assert sum(n == 8 * 2048 for n in ids.values()) > 20
+
+
+def test_token_file_refuses_ids_beyond_its_width(tmp_path):
+    import numpy as np
+
+    from stratadoc.llm.token_store import FileReader, FileWriter
+
+    w = FileWriter((tmp_path / "narrow.zst").open("wb"), 2, 10)
+    with pytest.raises(ValueError, match="70000"):
+        w.add(1, np.array([1, 70_000], "<u4"))
+    w = FileWriter((tmp_path / "wide.zst").open("wb"), 4, 10)
+    w.add(1, np.array([1, 70_000], "<u4"))
+    size = w.close()
+    with (tmp_path / "wide.zst").open("rb") as f:
+        assert [n.tolist() for _, _, n in FileReader(f, size).documents()] == [[1, 70_000]]
+
+
+def test_encoder_equals_the_library_on_odd_texts():
+    import random
+
+    from stratadoc.llm.bpe import Encoder, tokenizer_path
+
+    rng, e = random.Random(5), Encoder(tokenizer_path())
+    signs = [" ", "  ", "\n", "\t", " ", "a", "don't", "Wörd,", "中文", "😀", "<|endoftext|>", "Ġ", "123", " ", "\x1c", "\x85", "\r\n", "...", "​", "　", "_"]
+    for _ in range(60):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(40)]
+        for text, got, want in zip(texts, e.encode_all(texts, 7), ids_of(texts), strict=True):
+            assert got.tolist() == [*want, 7], text
