@@ -7,14 +7,14 @@ other words are the tail, and their counts are joined by word.
 Model. A GRU reads words; its output is factored by class. All words of the head are in word classes, by frequency,
 about as many classes as words in each, with a softmax within each; every other word is in a class of form (its last sign,
 its length, whether it is ASCII), within which its probability is its smoothed count. P(word) = P(class | state)
-P(word | class, state), which adds up to one over known words and one unknown word per class of form. Biases start from
-the counts, so that rare words start as what they were counted as.
+P(word | class, state), which adds up to one over known words and one unknown word per class of form. The class is itself
+chosen in two steps, a group of classes and the class within it. Biases start from the counts, so that rare words start as
+what they were counted as.
 
 Training. One task starts the model from at most `WARM_ROWS` documents (those with the smallest hash of doc_id);
 then every task trains a copy on all training documents it reads, by backpropagation truncated to windows of
-`WINDOW` steps, with the state carried from window to window through a stretch of at most `STRETCH` tokens of a document;
-each stretch starts from an empty state, so later states are scored with but not trained; the copies are averaged by their numbers of tokens, in
-groups, so the driver receives a bounded number of them.
+`WINDOW` steps, with the state carried from window to window through each whole document; the copies are averaged by
+their numbers of tokens, in groups, so the driver receives a bounded number of them.
 
 Scoring. Documents run side by side in lanes; the state is carried across windows until a document ends, so every
 token is scored given the whole text before it.
@@ -26,29 +26,34 @@ training token, base_score is 0 for any text. An empty table gives no row. Other
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm.shared import hash_fold, shared_folder, texts_of
+from stratadoc.llm.shared import hash_fold, shared_folder, slices_by_bytes, texts_of
 
 END = b"\n"  # no word holds white space
 HEAD_PARTS = 1 << 18
 LEAST_CLASS_WORDS, HIDDEN = 32, 16
 FORMS = 24
-WINDOW, LANES, BUFFER_TOKENS = 16, 512, 1_200_000
-#: For training, documents are cut into stretches of so many tokens, of which each starts from an empty state, so that lanes are
-#: of equal length; scoring carries the state through the whole document.
-STRETCH = 1024
+WINDOW, LANES = 16, 512
+#: Tokens of whole documents that are trained on or scored side by side: many, so that lanes are of nearly equal length.
+BUFFER_TOKENS = 4_000_000
+#: Scoring gathers the states of so many tokens before it looks at their outputs.
+SCORED_TOKENS = 1 << 15
+#: Parts of the work that stay within a core's cache: logits, and weights in an update.
+BLOCK_FLOATS, ADAM_FLOATS = 1 << 18, 1 << 14
+SLICE_CHARS, COUNT_ROWS = 8 << 20, 1 << 20
 WARM_ROWS, WARM_ROUNDS = 1500, 2
 GROUP, PART_FLOATS = 64, 1 << 16
 WEIGHT_SCHEMA = "task long, part int, n long, weights binary"
 COUNT_SCHEMA = "token binary, form int, n long"
+COUNT_ARROW = pa.schema([("token", pa.binary()), ("form", pa.int32()), ("n", pa.int64())])
 PART_SCHEMA = "row long, doc_id long, token binary, n long, n_tokens long, n_known long, head_sum double, rest double"
 
 
@@ -76,16 +81,22 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Weights as one flat float32 vector with named views. Input symbols: words, then forms, then the start."""
+    """Weights as one flat float32 vector with named views. Input symbols: words, then forms, then the start.
+
+    The last row of an output's weights is its bias: states are given with a one after them. Classes are chosen in two
+    steps, a group of about sqrt(classes) of them and the class within it.
+    """
 
     def __init__(self, n_words: int, flat: np.ndarray | None = None, seed: int = 11):
         self.n_words = n_words
         self.class_words = max(LEAST_CLASS_WORDS, int(np.ceil(np.sqrt(n_words))))
         self.word_classes = -(-n_words // self.class_words)
         self.n_classes = self.word_classes + FORMS
+        self.group_classes = int(np.ceil(np.sqrt(self.n_classes)))
+        self.n_groups = -(-self.n_classes // self.group_classes)
         self.start = n_words + FORMS
         h = HIDDEN
-        shapes = {"x": (self.start + 1, 3 * h), "u": (h, 3 * h), "b": (3 * h,), "c": (h, self.n_classes), "cb": (self.n_classes,), "w": (self.word_classes, h, self.class_words), "wb": (self.word_classes, self.class_words)}
+        shapes = {"x": (self.start + 1, 3 * h), "u": (h, 3 * h), "b": (3 * h,), "g": (1, h + 1, self.n_groups), "c": (self.n_groups, h + 1, self.group_classes), "w": (self.word_classes, h + 1, self.class_words)}
         total = sum(int(np.prod(s)) for s in shapes.values())
         if flat is None:
             rng = np.random.default_rng(seed)
@@ -95,138 +106,209 @@ class Network:
             n = int(np.prod(s))
             self.views[name] = flat[at : at + n].reshape(s)
             at += n
-        # places of the last word class that no word has
-        self.absent = np.zeros((self.word_classes, self.class_words), np.float32)
-        if n_words % self.class_words:
-            self.absent[-1, n_words % self.class_words :] = -1e9
+        self.n_inputs = (self.start + 1) * 3 * h
+        # places of the last node that nothing has
+        self.spare = {"g": 0, "c": self.n_groups * self.group_classes - self.n_classes, "w": self.word_classes * self.class_words - n_words}
 
     def zeros(self) -> Network:
         return Network(self.n_words, np.zeros_like(self.flat))
 
     def start_from(self, vocabulary: Vocabulary) -> Network:
-        """Sets the biases to the logarithms of the counts of classes, and of words within them."""
-        counts = np.zeros(self.word_classes * self.class_words)
-        counts[: self.n_words] = vocabulary.counts[: self.n_words] + 0.5
-        counts = counts.reshape(self.word_classes, self.class_words)
-        logs = np.concatenate([np.log(counts.sum(1)), vocabulary.form_log * np.log(10)])
-        self.views["cb"][:] = logs - logs.max()
-        self.views["wb"][:] = np.log(np.maximum(counts, 0.5) / np.maximum(counts.max(1, keepdims=True, initial=0.5), 0.5))
+        """Sets the biases to the logarithms of the counts of groups, of classes within them and of words within those."""
+
+        def nodes(counts: np.ndarray, width: int) -> np.ndarray:
+            padded = np.zeros(-(-len(counts) // width) * width)
+            padded[: len(counts)] = counts
+            return padded.reshape(-1, width)
+
+        def biases(counts: np.ndarray) -> np.ndarray:
+            most = counts.max(1, keepdims=True, initial=0)
+            return np.where(counts > 0, np.log(np.where(counts > 0, counts, 1) / np.where(most > 0, most, 1)), 0)
+
+        words = nodes(vocabulary.counts[: self.n_words] + 0.5, self.class_words)
+        classes = nodes(np.concatenate([words.sum(1), 10.0**vocabulary.form_log]), self.group_classes)
+        for name, counts in (("w", words), ("c", classes), ("g", classes.sum(1)[None])):
+            self.views[name][:, -1] = biases(counts)
         return self
 
     def class_of(self, symbols: np.ndarray) -> np.ndarray:
         return np.where(symbols < self.n_words, symbols // self.class_words, self.word_classes + symbols - self.n_words)
 
-    def steps(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+    def steps(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         """States after each step of symbols x (steps, lanes) from state h, and what the way back needs."""
         v, n = self.views, HIDDEN
         gates = v["x"][x]
-        states, trace = np.empty((*x.shape, n), np.float32), []
+        kind = np.result_type(gates, h)
+        states = np.empty((*x.shape, n), kind)
+        # states before, both gates, the recurrent part of the new value, and the new value, of each step
+        before, both, inner, news = np.empty_like(states), np.empty((*x.shape, 2 * n), kind), np.empty_like(states), np.empty_like(states)
+        g = np.empty((x.shape[1], 3 * n), kind)
         for t in range(len(x)):
-            h = h * keep[t][:, None]
-            g = h @ v["u"] + v["b"]
-            rz = sigmoid(gates[t, :, : 2 * n] + g[:, : 2 * n])
-            r, z = rz[:, :n], rz[:, n:]
-            new = np.tanh(gates[t, :, 2 * n :] + r * g[:, 2 * n :])
-            trace.append((h, r, z, g[:, 2 * n :], new))
-            h = new + z * (h - new)
-            states[t] = h
-        return states, trace
-
-    def outputs(self, states: np.ndarray, y: np.ndarray, grads: Network | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log probability of each symbol's class, and word within it, given its state; and, with grads, the
-        states' gradients of the mean loss."""
-        v, m = self.views, len(y)
-        classes = self.class_of(y)
-        logits = states @ v["c"] + v["cb"]
-        # clipped rather than shifted by each row's maximum: states are within one, so logits are small
-        np.clip(logits, -40, 40, out=logits)
-        e = np.exp(logits)
-        total = e @ np.ones(e.shape[1], e.dtype)
-        rows = np.arange(m)
-        score = (logits[rows, classes] - np.log(total)).astype(np.float64)
-        back = None
-        if grads is not None:
-            e /= total[:, None] * m
-            e[rows, classes] -= 1 / m
-            grads.views["c"] += states.T @ e
-            grads.views["cb"] += e.sum(0)
-            back = e @ v["c"].T
-        order = np.argsort(classes.astype(np.int16), kind="stable")  # of short integers: a radix sort
-        cuts = np.searchsorted(classes[order], np.arange(self.word_classes + 1))
-        for k in range(self.word_classes):
-            at = order[cuts[k] : cuts[k + 1]]
-            if not len(at):
-                continue
-            own = states[at]
-            logits = own @ v["w"][k] + (v["wb"][k] + self.absent[k])
-            np.clip(logits, -40, 40, out=logits)
-            e = np.exp(logits)
-            total = e @ np.ones(self.class_words, e.dtype)
-            place, each = y[at] - k * self.class_words, np.arange(len(at))
-            score[at] += logits[each, place] - np.log(total)
+            if keep[t].all():
+                before[t] = h
+            else:
+                np.multiply(h, keep[t][:, None], out=before[t])
+            h, rz, new = before[t], both[t], news[t]
+            np.matmul(h, v["u"], out=g)
+            g += v["b"]
+            np.add(gates[t, :, : 2 * n], g[:, : 2 * n], out=rz)
+            rz *= 0.5
+            np.tanh(rz, out=rz)
+            rz += 1
+            rz *= 0.5
+            inner[t] = g[:, 2 * n :]
+            np.multiply(rz[:, :n], g[:, 2 * n :], out=new)
+            new += gates[t, :, 2 * n :]
+            np.tanh(new, out=new)
+            np.subtract(h, new, out=states[t])
+            states[t] *= rz[:, n:]
+            states[t] += new
+            h = states[t]
+        return states, (before, both, inner, news)
+
+    def choose(self, name: str, states: np.ndarray, node: np.ndarray, place: np.ndarray, grads: Network | None, share: float) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probability of each place of its node, by a softmax over the node's places; states end in ones.
+
+        With grads, `share` times the gradients of the negated sum are put there, and those of the states are returned.
+        Rows are sorted by node, so that a node's rows are one product; a block of rows stays within the cache.
+        """
+        weights, m = self.views[name], len(node)
+        n_nodes, width = weights.shape[0], weights.shape[2]
+        score = np.empty(m)
+        back = None if grads is None else np.empty_like(states)
+        order = np.argsort(node.astype(np.int16 if n_nodes < 1 << 15 else np.int32), kind="stable") if n_nodes > 1 else slice(None)
+        sorted_states, sorted_place = states[order], place[order]
+        cuts = np.searchsorted(node[order], np.arange(n_nodes + 1))
+        found, sorted_back = np.empty(m), None if grads is None else np.empty_like(states)
+        block, ones = max(1, BLOCK_FLOATS // width), np.ones(width, states.dtype)
+        for start in range(0, m, block):
+            end = min(m, start + block)
+            e = np.empty((end - start, width), states.dtype)
+            low, high = int(np.searchsorted(cuts, start, side="right")) - 1, int(np.searchsorted(cuts, end, side="left"))
+            parts = [(k, max(start, int(cuts[k])), min(end, int(cuts[k + 1]))) for k in range(low, high) if cuts[k + 1] > cuts[k]]
+            for k, i, j in parts:
+                np.matmul(sorted_states[i:j], weights[k], out=e[i - start : j - start])
+            if self.spare[name] and parts[-1][0] == n_nodes - 1:
+                e[max(parts[-1][1] - start, 0) :, width - self.spare[name] :] = -np.inf
+            rows, at = np.arange(end - start), sorted_place[start:end]
+            picked = e[rows, at]
+            if np.abs(picked).max(initial=0) > 60 or e.max(initial=0) > 60:
+                most = e.max(1)
+                e -= most[:, None]
+                picked -= most
+            np.exp(e, out=e)
+            total = e @ ones
+            found[start:end] = picked - np.log(total)
             if grads is not None:
-                e /= total[:, None] * m
-                e[each, place] -= 1 / m
-                grads.views["w"][k] += own.T @ e
-                grads.views["wb"][k] += e.sum(0)
-                back[at] += e @ v["w"][k].T
+                # each row of e by share / total is what it adds to the gradients; its state takes that factor instead
+                e[rows, at] -= total
+                factor = (share / total)[:, None]
+                scaled = sorted_states[start:end] * factor
+                for k, i, j in parts:
+                    grads.views[name][k] += scaled[i - start : j - start].T @ e[i - start : j - start]
+                    np.matmul(e[i - start : j - start], weights[k].T, out=sorted_back[i:j])
+                sorted_back[start:end] *= factor
+        score[order] = found
+        if grads is not None:
+            back[order] = sorted_back
         return score, back
 
-    def back(self, x: np.ndarray, keep: np.ndarray, trace: list, back: np.ndarray, grads: Network) -> None:
-        """Adds the gradients of one window; nothing flows to the window before."""
+    def outputs(self, states: np.ndarray, y: np.ndarray, grads: Network | None = None, least: int = 1) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log probability of each symbol given its state; and, with grads, the states' gradients of the mean loss,
+        where fewer than `least` symbols count as so many."""
+        states = np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
+        share, classes = states.dtype.type(1 / max(least, len(y), 1)), self.class_of(y)
+        group = classes // self.group_classes
+        score, back = self.choose("g", states, np.zeros_like(group), group, grads, share)
+        more, inner = self.choose("c", states, group, classes - group * self.group_classes, grads, share)
+        score += more
+        worded = np.flatnonzero(y < self.n_words)
+        more, word_back = self.choose("w", states[worded], classes[worded], y[worded] - classes[worded] * self.class_words, grads, share)
+        score[worded] += more
+        if grads is None:
+            return score, None
+        back += inner
+        back[worded] += word_back
+        return score, back[:, :-1]
+
+    def back(self, x: np.ndarray, keep: np.ndarray, trace: tuple, back: np.ndarray, grads: Network) -> np.ndarray:
+        """Adds the gradients of one window; nothing flows to the window before. Returns the input symbols with gradients."""
         v, n = self.views, HIDDEN
-        gates = np.empty((*x.shape, 3 * n), np.float32)
-        carried = np.zeros_like(back[0])
-        inner = np.empty((x.shape[1], 3 * n), np.float32)
+        before, both, recurrent, new = trace
+        r, z = both[..., :n], both[..., n:]
+        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), recurrent * r * (1 - r)
+        gates, inner = np.empty((*x.shape, 3 * n), back.dtype), np.empty((*x.shape, 3 * n), back.dtype)
+        carried, turned = np.zeros_like(back[0]), np.ascontiguousarray(v["u"].T)
         for t in range(len(x) - 1, -1, -1):
-            h, r, z, g, new = trace[t]
-            d = back[t] + carried
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (h - new) * z * (1 - z)
-            d_r = d_new * g * r * (1 - r)
-            gates[t, :, :n], gates[t, :, n : 2 * n], gates[t, :, 2 * n :] = d_r, d_z, d_new
-            inner[:, : 2 * n], inner[:, 2 * n :] = gates[t, :, : 2 * n], d_new * r
-            grads.views["u"] += h.T @ inner
-            grads.views["b"] += inner.sum(0)
-            carried = (d * z + inner @ v["u"].T) * keep[t][:, None]
+            d, own = back[t] + carried, gates[t]
+            np.multiply(d, by_new[t], out=own[:, 2 * n :])
+            np.multiply(d, by_z[t], out=own[:, n : 2 * n])
+            np.multiply(own[:, 2 * n :], by_r[t], out=own[:, :n])
+            inner[t, :, : 2 * n] = own[:, : 2 * n]
+            np.multiply(own[:, 2 * n :], r[t], out=inner[t, :, 2 * n :])
+            np.matmul(inner[t], turned, out=carried)
+            d *= z[t]
+            carried += d
+            if not keep[t].all():
+                carried *= keep[t][:, None]
+        inner = inner.reshape(-1, 3 * n)
+        grads.views["u"] += before.reshape(-1, n).T @ inner
+        grads.views["b"] += np.ones(len(inner), inner.dtype) @ inner
         symbols = x.ravel()
         order = np.argsort(symbols.astype(np.int16 if self.start < 1 << 15 else np.int32), kind="stable")
         cuts = np.flatnonzero(np.diff(symbols[order], prepend=-1))
-        grads.views["x"][symbols[order][cuts]] += np.add.reduceat(gates.reshape(-1, 3 * n)[order], cuts, axis=0)
+        rows = symbols[order][cuts]
+        grads.views["x"][rows] += np.add.reduceat(gates.reshape(-1, 3 * n)[order], cuts, axis=0)
+        return rows
 
 
 class Adam:
+    """Input rows are updated, and their moments decay, only in windows that hold them; all else in every window."""
+
     def __init__(self, network: Network, rate: float):
         self.network, self.rate, self.step = network, rate, 0
         self.first, self.second = np.zeros_like(network.flat), np.zeros_like(network.flat)
-        self.work = np.empty_like(network.flat)
 
-    def update(self, grad: np.ndarray) -> None:
+    def moved(self, grad: np.ndarray, first: np.ndarray, second: np.ndarray, work: np.ndarray) -> np.ndarray:
+        """The step of these weights, in `work`; the moments, as sums without their factors 0.1 and 0.002, are updated in place."""
+        scale = np.sqrt(0.002 / (1 - 0.998**self.step))
+        first *= np.float32(0.9)
+        first += grad
+        second *= np.float32(0.998)
+        np.multiply(grad, grad, out=work)
+        second += work
+        np.sqrt(second, out=work)
+        work += np.float32(1e-6 / scale)
+        np.divide(first, work, out=work)
+        work *= np.float32(0.1 * self.rate / (1 - 0.9**self.step) / scale)
+        return work
+
+    def update(self, grads: Network, rows: np.ndarray) -> None:
+        """rows: the input symbols with gradients. The gradients become zero."""
         self.step += 1
-        norm = float(np.sqrt(grad @ grad))
+        n, net = self.network.n_inputs, self.network
+        of_rows, rest = grads.views["x"][rows], grads.flat[n:]
+        norm = float(np.sqrt(np.vdot(of_rows, of_rows) + rest @ rest))
         if norm > 1:
-            grad *= np.float32(1 / norm)
-        work = self.work
-        self.first *= np.float32(0.9)
-        np.multiply(grad, np.float32(0.1), out=work)
-        self.first += work
-        self.second *= np.float32(0.998)
-        np.multiply(grad, grad, out=work)
-        work *= np.float32(0.002)
-        self.second += work
-        np.multiply(self.second, np.float32(1 / (1 - 0.998**self.step)), out=work)
-        np.sqrt(work, out=work)
-        work += np.float32(1e-6)
-        np.divide(self.first, work, out=work)
-        work *= np.float32(self.rate / (1 - 0.9**self.step))
-        self.network.flat -= work
+            of_rows *= np.float32(1 / norm)
+            rest *= np.float32(1 / norm)
+        shape = net.views["x"].shape
+        first, second = self.first[:n].reshape(shape), self.second[:n].reshape(shape)
+        first_rows, second_rows = first[rows], second[rows]
+        net.views["x"][rows] -= self.moved(of_rows, first_rows, second_rows, np.empty_like(of_rows))
+        first[rows], second[rows] = first_rows, second_rows
+        work = np.empty(ADAM_FLOATS, net.flat.dtype)
+        for at in range(n, len(net.flat), ADAM_FLOATS):  # a part stays within the cache
+            to = min(at + ADAM_FLOATS, len(net.flat))
+            net.flat[at:to] -= self.moved(grads.flat[at:to], self.first[at:to], self.second[at:to], work[: to - at])
+        grads.views["x"][rows] = 0
+        rest.fill(0)
 
 
 class Lanes:
     """Documents side by side: each lane holds some, one after another; longer lanes come first."""
 
-    def __init__(self, docs: list[np.ndarray], start: int, most: int = LANES, firsts: list[int] | None = None):
-        """firsts: the symbol that each document is entered by, by default the start."""
+    def __init__(self, docs: list[np.ndarray], start: int, most: int = LANES):
         n = max(1, min(most, len(docs)))
         heap = [(0, k) for k in range(n)]
         members: list[list[int]] = [[] for _ in range(n)]
@@ -239,10 +321,11 @@ class Lanes:
         self.load = loads[order]
         ordered = [i for k in order for i in members[k]]
         self.y = np.concatenate([docs[i] for i in ordered]) if ordered else np.empty(0, np.int32)
-        self.doc = np.repeat(ordered, [len(docs[i]) for i in ordered])
+        self.doc = np.repeat(np.array(ordered, np.int32), [len(docs[i]) for i in ordered])
         self.fresh = np.diff(self.doc, prepend=-1) != 0
-        entered = start if firsts is None else np.array(firsts)[self.doc]
-        self.x = np.where(self.fresh, entered, np.concatenate([[start], self.y[:-1]]).astype(np.int64))
+        self.x = np.empty(len(self.y), np.int32)
+        self.x[1:] = self.y[:-1]
+        self.x[self.fresh] = start
         self.begin = np.cumsum(self.load) - self.load
 
     def windows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -256,28 +339,36 @@ class Lanes:
 
     def train(self, network: Network, adam: Adam) -> None:
         h, grads = np.zeros((len(self.load), HIDDEN), np.float32), network.zeros()
+        least = WINDOW * len(self.load) // 2  # the last lanes of a buffer must not weigh more than whole windows
         for live, at, inside in self.windows():
             x, keep = self.x[at], 1 - self.fresh[at].astype(np.float32)
             states, trace = network.steps(x, keep, h[:live])
             h[:live] = states[-1]
-            grads.flat.fill(0)
             where = np.nonzero(inside)
-            _, back = network.outputs(states[where], self.y[at[where]], grads)
+            _, back = network.outputs(states[where], self.y[at[where]], grads, least)
             whole = np.zeros_like(states)
             whole[where] = back
-            network.back(x, keep, trace, whole, grads)
-            adam.update(grads.flat)
+            adam.update(grads, network.back(x, keep, trace, whole, grads))
 
     def score(self, network: Network, n_docs: int) -> np.ndarray:
         """Natural log probability of each document's symbols."""
-        h, out = np.zeros((len(self.load), HIDDEN), np.float32), np.zeros(n_docs)
+        h, out, held = np.zeros((len(self.load), HIDDEN), np.float32), np.zeros(n_docs), []
+
+        def add() -> None:
+            places = np.concatenate([p for p, _ in held])
+            score, _ = network.outputs(np.concatenate([s for _, s in held]), self.y[places])
+            np.add(out, np.bincount(self.doc[places], weights=score, minlength=n_docs), out=out)
+            held.clear()
+
         for live, at, inside in self.windows():
             x, keep = self.x[at], 1 - self.fresh[at].astype(np.float32)
             states, _ = network.steps(x, keep, h[:live])
             h[:live] = states[-1]
-            places = at[inside]
-            score, _ = network.outputs(states[inside], self.y[places])
-            out += np.bincount(self.doc[places], weights=score, minlength=n_docs)
+            held.append((at[inside], states[inside]))
+            if sum(len(p) for p, _ in held) >= SCORED_TOKENS:
+                add()
+        if held:
+            add()
         return out
 
 
@@ -292,6 +383,7 @@ class Vocabulary:
         self.n_words = len(head)
         self.counts = np.array([c for _, c, _ in head], np.float64)
         self.place = {token: i for i, (token, _, _) in enumerate(head)}
+        self.words = pa.array([token for token, _, _ in head], pa.large_binary())
         # one more entry, for words that are not in the head
         self.symbols = np.array([i if i < self.n_words else self.n_words + form for i, (_, _, form) in enumerate(head)] + [0], np.int32)
         self.logs = np.array([np.log10(c + 0.5) for _, c, _ in head] + [0.0])
@@ -302,6 +394,11 @@ class Vocabulary:
             sums[form][1] -= 1
         self.form_log = np.array([np.log10(sums[k][0] + 0.5 * (sums[k][1] + 1)) for k in range(FORMS)])
 
+    def of_words(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, places in the head or -1) of the distinct words."""
+        places = pc.index_in(tokens.words, value_set=self.words).fill_null(-1).to_numpy().astype(np.int32)
+        return np.where(places < 0, tokens.forms().astype(np.int32) + self.n_words, self.symbols[places]).astype(np.int32), places
+
     def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(symbols, places in the head or -1, the words that are not in the head)."""
         places = np.fromiter(map(self.place.get, tokens, repeat(-1)), np.int32, len(tokens))
@@ -311,38 +408,70 @@ class Vocabulary:
         return symbols, places, tail
 
 
+class Tokens:
+    """The tokens of some texts: distinct words, their codes in order (one code more is the end), and each text's cuts."""
+
+    def __init__(self, texts: list[str]):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        coded = split.values.dictionary_encode()
+        codes, n = coded.indices.to_numpy().astype(np.int32), len(texts)
+        named = pc.binary_length(coded.dictionary).to_numpy() > 0  # blanks at a text's borders leave empty pieces
+        real = named[codes] if len(codes) else np.empty(0, bool)
+        text = np.repeat(np.arange(n), np.diff(split.offsets.to_numpy()))[real]
+        self.words = coded.dictionary.cast(pa.large_binary())
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n) + 1)])
+        self.codes = np.full(self.cuts[-1], len(self.words), np.int32)
+        self.codes[np.arange(len(text)) + text] = codes[real]
+        # the end as a word of its own
+        self.words = pa.concat_arrays([self.words, pa.array([END], pa.large_binary())])
+
+    def forms(self) -> np.ndarray:
+        """form_of of each distinct word."""
+        offsets, data = np.frombuffer(self.words.buffers()[1], np.int64)[: len(self.words) + 1], np.frombuffer(self.words.buffers()[2] or b"", np.uint8)
+        lengths, wide = np.diff(offsets), np.concatenate([[0], np.cumsum(data >= 128)])
+        last = np.array(LAST)[data[np.maximum(offsets[1:] - 1, 0)]]
+        return last * 6 + np.where(lengths > 11, 4, np.where(lengths > 6, 2, 0)) + (wide[offsets[1:]] > wide[offsets[:-1]])
+
+
+def token_slices(texts: list[str]) -> Iterator[tuple[int, Tokens]]:
+    """(place of the first text, tokens of some texts)."""
+    for start, end in slices_by_bytes([len(t) for t in texts], SLICE_CHARS):
+        yield start, Tokens(texts[start:end])
+
+
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    held: list[pa.Table] = []
 
-    def flushed() -> pa.RecordBatch:
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([form_of(k) for k in keys], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["token", "form", "n"])
+    def summed() -> pa.Table:
+        whole = pa.concat_tables(held).group_by(["token", "form"]).aggregate([("n", "sum")])
+        return whole.rename_columns(["token", "form", "n"])
 
     for batch in batches:
-        for text in texts_of(batch.column(0)):
-            counts.update(tokens_of(text))
-            if len(counts) > 300_000:
-                yield flushed()
-                counts.clear()
-    if counts:
-        yield flushed()
-
-
-def training_buffers(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, start: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
-    """(stretches, the symbol before each) of about BUFFER_TOKENS tokens at a time."""
-    stretches, firsts, held = [], [], 0
+        for _, tokens in token_slices(texts_of(batch.column(0))):
+            n = np.bincount(tokens.codes, minlength=len(tokens.words))
+            met = np.flatnonzero(n)
+            held.append(pa.table({"token": tokens.words.take(pa.array(met)), "form": pa.array(tokens.forms()[met], pa.int32()), "n": pa.array(n[met], pa.int64())}))
+            if sum(map(len, held)) > COUNT_ROWS:
+                held[:] = [summed()]
+                if len(held[0]) > COUNT_ROWS // 2:
+                    yield from held.pop().cast(COUNT_ARROW).combine_chunks().to_batches(50_000)
+    if held:
+        yield from summed().cast(COUNT_ARROW).combine_chunks().to_batches(50_000)
+
+
+def training_buffers(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[list[np.ndarray]]:
+    """The symbols of whole documents, about BUFFER_TOKENS at a time."""
+    docs, held = [], 0
     for batch in batches:
-        for text in texts_of(batch.column(1)):
-            symbols = vocabulary.encode(tokens_of(text))[0]
-            for at in range(0, len(symbols), STRETCH):
-                stretches.append(symbols[at : at + STRETCH])
-                firsts.append(int(symbols[at - 1]) if at else start)
+        for _, tokens in token_slices(texts_of(batch.column(1))):
+            symbols = vocabulary.of_words(tokens)[0][tokens.codes]
+            docs += np.split(symbols, tokens.cuts[1:-1])
             held += len(symbols)
             if held >= BUFFER_TOKENS:
-                yield stretches, firsts
-                stretches, firsts, held = [], [], 0
-    if stretches:
-        yield stretches, firsts
+                yield docs
+                docs, held = [], 0
+    if docs:
+        yield docs
 
 
 def train_tasks(vocabulary: Vocabulary, flat: np.ndarray | None, rounds: int, rate: float):
@@ -353,8 +482,8 @@ def train_tasks(vocabulary: Vocabulary, flat: np.ndarray | None, rounds: int, ra
 
         network = Network(vocabulary.n_words).start_from(vocabulary) if flat is None else Network(vocabulary.n_words, flat.copy())
         adam, seen = Adam(network, rate), 0
-        for stretches, firsts in training_buffers(batches, vocabulary, network.start):
-            lanes = Lanes(stretches, network.start, firsts=firsts)
+        for docs in training_buffers(batches, vocabulary):
+            lanes = Lanes(docs, network.start)
             for _ in range(rounds):
                 lanes.train(network, adam)
             seen += len(lanes.y)
@@ -411,46 +540,50 @@ def score_parts(vocabulary: Vocabulary, flat: np.ndarray):
         from pyspark import TaskContext
 
         network, row, words = Network(vocabulary.n_words, flat.copy()), TaskContext.get().partitionId() << 33, vocabulary.n_words
-        held: list[tuple] = []
+        docs: list[np.ndarray] = []
+        columns: list[list] = [[] for _ in range(6)]
         n_held = 0
 
-        def scored() -> Iterator[pa.RecordBatch]:
-            nonlocal row
-            logs = Lanes([h[1] for h in held], network.start).score(network, len(held)) / np.log(10)
-            columns: list[list] = [[] for _ in range(8)]
-            for (doc_id, symbols, known, head_sum, rest, tail), log in zip(held, logs.tolist(), strict=True):
-                n = len(tail)
-                for column, value, more in zip(columns, (row, doc_id, None, None, len(symbols), known, head_sum, rest + log), ([row] * n, [None] * n, tail.keys(), tail.values(), *[[None] * n] * 4), strict=True):
-                    column.append(value)
-                    column.extend(more)
-                row += 1
-                if len(columns[0]) > 50_000:
-                    yield parts_batch(columns)
-                    columns = [[] for _ in range(8)]
-            yield parts_batch(columns)
+        def scored() -> pa.RecordBatch:
+            logs = Lanes(docs, network.start).score(network, len(docs)) / np.log(10)
+            ids, rows, n, known, head_sum, rest = columns
+            return parts_batch(rows, ids, None, None, n, known, head_sum, np.array(rest) + logs)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                symbols, places, tail = vocabulary.encode(tokens_of(text))
+            ids = batch.column(0).to_pylist()
+            for first, tokens in token_slices(texts_of(batch.column(1))):
+                symbols, places = vocabulary.of_words(tokens)
+                codes, starts, n = tokens.codes, tokens.cuts[:-1], len(tokens.cuts) - 1
                 logs = vocabulary.logs[places]  # zero outside the head
                 # words in the classes of form take their smoothed counts within the class
                 formed = symbols >= words
-                rest = float(logs[formed].sum() - vocabulary.form_log[symbols[formed] - words].sum())
-                held.append((doc_id, symbols, len(symbols) - len(tail), float(logs.sum()), rest, Counter(tail)))
-                n_held += len(symbols)
+                rest = np.where(formed, logs - vocabulary.form_log[np.where(formed, symbols - words, 0)], 0.0)
+                held = zip(ids[first : first + n], range(row, row + n), np.diff(tokens.cuts).tolist(), np.add.reduceat((places >= 0)[codes].astype(np.int64), starts).tolist(), np.add.reduceat(logs[codes], starts).tolist(), np.add.reduceat(rest[codes], starts).tolist(), strict=True)
+                for column, values in zip(columns, zip(*held, strict=True), strict=True):
+                    column.extend(values)
+                docs += np.split(symbols[codes], tokens.cuts[1:-1])
+                n_held += len(codes)
+                tail = np.flatnonzero(places[codes] < 0)
+                of = np.searchsorted(tokens.cuts, tail, side="right") - 1
+                pairs, times = np.unique(of * np.int64(len(places)) + codes[tail], return_counts=True)
+                for at in range(0, len(pairs), 50_000):
+                    part = pairs[at : at + 50_000]
+                    yield parts_batch(row + part // len(places), None, tokens.words.take(pa.array(part % len(places))), times[at : at + 50_000], None, None, None, None)
+                row += n
                 if n_held >= BUFFER_TOKENS:
-                    yield from scored()
-                    held.clear()
-                    n_held = 0
-        if held:
-            yield from scored()
+                    yield scored()
+                    docs, columns, n_held = [], [[] for _ in range(6)], 0
+        if docs:
+            yield scored()
 
     return run
 
 
-def parts_batch(columns: list[list]) -> pa.RecordBatch:
+def parts_batch(*columns) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in PART_SCHEMA.split(", ")])
+    n = len(columns[0])
+    made = [pa.nulls(n, k) if c is None else c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in PART_SCHEMA.split(", ")])
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
