@@ -35,21 +35,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm.shared import hash_fold, shared_folder, slices_by_bytes, texts_of
+from stratadoc.llm.shared import hash_fold, shared_folder, slices_by_bytes
 
 END = b"\n"  # no word holds white space
 HEAD_PARTS = 1 << 18
 LEAST_CLASS_WORDS, HIDDEN = 32, 16
 FORMS = 24
-WINDOW, LANES = 16, 512
+WINDOW, LANES = 32, 512
 #: Tokens of whole documents that are trained on or scored side by side: many, so that lanes are of nearly equal length.
 BUFFER_TOKENS = 4_000_000
 #: Scoring gathers the states of so many tokens before it looks at their outputs.
 SCORED_TOKENS = 1 << 15
 #: Parts of the work that stay within a core's cache: logits, and weights in an update.
 BLOCK_FLOATS, ADAM_FLOATS = 1 << 18, 1 << 14
-SLICE_CHARS, COUNT_ROWS = 8 << 20, 1 << 20
+SLICE_BYTES, COUNT_ROWS = 4 << 20, 1 << 20
 WARM_ROWS, WARM_ROUNDS = 1500, 2
+WARM_RATE, RATE = 0.02, 0.012
 GROUP, PART_FLOATS = 64, 1 << 16
 WEIGHT_SCHEMA = "task long, part int, n long, weights binary"
 COUNT_SCHEMA = "token binary, form int, n long"
@@ -169,50 +170,76 @@ class Network:
     def choose(self, name: str, states: np.ndarray, node: np.ndarray, place: np.ndarray, grads: Network | None, share: float) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each place of its node, by a softmax over the node's places; states end in ones.
 
-        With grads, `share` times the gradients of the negated sum are put there, and those of the states are returned.
+        With grads, `share` times the gradients of the negated sum take the place of what the nodes met had there, and those of
+        the states are returned.
         Rows are sorted by node, so that a node's rows are one product; a block of rows stays within the cache.
         """
         weights, m = self.views[name], len(node)
-        n_nodes, width = weights.shape[0], weights.shape[2]
-        score = np.empty(m)
+        n_nodes, inner, width = weights.shape
         back = None if grads is None else np.empty_like(states)
+        score, found = np.empty(m), np.empty(m)
         order = np.argsort(node.astype(np.int16 if n_nodes < 1 << 15 else np.int32), kind="stable") if n_nodes > 1 else slice(None)
-        sorted_states, sorted_place = states[order], place[order]
-        cuts = np.searchsorted(node[order], np.arange(n_nodes + 1))
-        found, sorted_back = np.empty(m), None if grads is None else np.empty_like(states)
-        block, ones = max(1, BLOCK_FLOATS // width), np.ones(width, states.dtype)
-        for start in range(0, m, block):
-            end = min(m, start + block)
-            e = np.empty((end - start, width), states.dtype)
-            low, high = int(np.searchsorted(cuts, start, side="right")) - 1, int(np.searchsorted(cuts, end, side="left"))
-            parts = [(k, max(start, int(cuts[k])), min(end, int(cuts[k + 1]))) for k in range(low, high) if cuts[k + 1] > cuts[k]]
-            for k, i, j in parts:
-                np.matmul(sorted_states[i:j], weights[k], out=e[i - start : j - start])
-            if self.spare[name] and parts[-1][0] == n_nodes - 1:
-                e[max(parts[-1][1] - start, 0) :, width - self.spare[name] :] = -np.inf
-            rows, at = np.arange(end - start), sorted_place[start:end]
-            picked = e[rows, at]
-            if np.abs(picked).max(initial=0) > 60 or e.max(initial=0) > 60:
+        states, place = states[order], place[order]
+        cuts = np.searchsorted(node[order], np.arange(n_nodes + 1)).tolist()
+        parts = [(k, i, min(i + self.block(width), b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for i in range(a, b, self.block(width))]
+        sorted_back = None if grads is None else np.empty_like(states)
+        ones, e_all = np.ones(width, states.dtype), np.empty((self.block(width), width), states.dtype)
+        at = 0
+        while at < len(parts):
+            to, start = at + 1, parts[at][1]
+            while to < len(parts) and parts[to][2] - start <= len(e_all):
+                to += 1
+            own, end = parts[at:to], parts[to - 1][2]
+            at, e = to, e_all[: end - start]
+
+            def logits(own=own, start=start, e=e) -> None:
+                for k, i, j in own:
+                    np.matmul(states[i:j], weights[k], out=e[i - start : j - start])
+                if self.spare[name] and own[-1][0] == n_nodes - 1:
+                    last = next(i for k, i, _ in own if k == n_nodes - 1)
+                    e[last - start :, width - self.spare[name] :] = -np.inf
+
+            logits()
+            rows, places = np.arange(end - start), place[start:end]
+            picked = e[rows, places]
+            with np.errstate(over="ignore"):
+                np.exp(e, out=e)
+                total = e @ ones
+            if not (total.min() > 1e-25 and total.max() < 1e25):  # far out logits: relative to each row's largest
+                logits()
                 most = e.max(1)
                 e -= most[:, None]
                 picked -= most
-            np.exp(e, out=e)
-            total = e @ ones
+                np.exp(e, out=e)
+                total = e @ ones
             found[start:end] = picked - np.log(total)
-            if grads is not None:
-                # each row of e by share / total is what it adds to the gradients; its state takes that factor instead
-                e[rows, at] -= total
-                factor = (share / total)[:, None]
-                scaled = sorted_states[start:end] * factor
-                for k, i, j in parts:
+            if grads is None:
+                continue
+            # each row of e by share / total is what it adds to the gradients
+            e[rows, places] -= total
+            factor = (share / total)[:, None]
+            if width < inner:
+                e *= factor
+                scaled = states[start:end]
+            else:
+                scaled = states[start:end] * factor
+            for k, i, j in own:
+                if i == cuts[k]:
+                    np.matmul(scaled[i - start : j - start].T, e[i - start : j - start], out=grads.views[name][k])
+                else:
                     grads.views[name][k] += scaled[i - start : j - start].T @ e[i - start : j - start]
-                    np.matmul(e[i - start : j - start], weights[k].T, out=sorted_back[i:j])
+                np.matmul(e[i - start : j - start], weights[k].T, out=sorted_back[i:j])
+            if width >= inner:
                 sorted_back[start:end] *= factor
         score[order] = found
         if grads is not None:
             back[order] = sorted_back
         return score, back
 
+    @staticmethod
+    def block(width: int) -> int:
+        return max(1, BLOCK_FLOATS // width)
+
     def outputs(self, states: np.ndarray, y: np.ndarray, grads: Network | None = None, least: int = 1) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each symbol given its state; and, with grads, the states' gradients of the mean loss,
         where fewer than `least` symbols count as so many."""
@@ -231,8 +258,9 @@ class Network:
         back[worded] += word_back
         return score, back[:, :-1]
 
-    def back(self, x: np.ndarray, keep: np.ndarray, trace: tuple, back: np.ndarray, grads: Network) -> np.ndarray:
-        """Adds the gradients of one window; nothing flows to the window before. Returns the input symbols with gradients."""
+    def back(self, x: np.ndarray, keep: np.ndarray, trace: tuple, back: np.ndarray, grads: Network, scattered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the gradients of one window; nothing flows to the window before. Returns the input symbols met and their
+        gradients, which are added only if `scattered`."""
         v, n = self.views, HIDDEN
         before, both, recurrent, new = trace
         r, z = both[..., :n], both[..., n:]
@@ -257,9 +285,10 @@ class Network:
         symbols = x.ravel()
         order = np.argsort(symbols.astype(np.int16 if self.start < 1 << 15 else np.int32), kind="stable")
         cuts = np.flatnonzero(np.diff(symbols[order], prepend=-1))
-        rows = symbols[order][cuts]
-        grads.views["x"][rows] += np.add.reduceat(gates.reshape(-1, 3 * n)[order], cuts, axis=0)
-        return rows
+        rows, of_rows = symbols[order][cuts], np.add.reduceat(gates.reshape(-1, 3 * n)[order], cuts, axis=0)
+        if scattered:
+            grads.views["x"][rows] += of_rows
+        return rows, of_rows
 
 
 class Adam:
@@ -283,11 +312,11 @@ class Adam:
         work *= np.float32(0.1 * self.rate / (1 - 0.9**self.step) / scale)
         return work
 
-    def update(self, grads: Network, rows: np.ndarray) -> None:
-        """rows: the input symbols with gradients. The gradients become zero."""
+    def update(self, grads: Network, rows: np.ndarray, of_rows: np.ndarray) -> None:
+        """rows and of_rows: the input symbols met and their gradients; all other gradients are in grads and become zero."""
         self.step += 1
         n, net = self.network.n_inputs, self.network
-        of_rows, rest = grads.views["x"][rows], grads.flat[n:]
+        rest = grads.flat[n:]
         norm = float(np.sqrt(np.vdot(of_rows, of_rows) + rest @ rest))
         if norm > 1:
             of_rows *= np.float32(1 / norm)
@@ -301,7 +330,6 @@ class Adam:
         for at in range(n, len(net.flat), ADAM_FLOATS):  # a part stays within the cache
             to = min(at + ADAM_FLOATS, len(net.flat))
             net.flat[at:to] -= self.moved(grads.flat[at:to], self.first[at:to], self.second[at:to], work[: to - at])
-        grads.views["x"][rows] = 0
         rest.fill(0)
 
 
@@ -348,7 +376,7 @@ class Lanes:
             _, back = network.outputs(states[where], self.y[at[where]], grads, least)
             whole = np.zeros_like(states)
             whole[where] = back
-            adam.update(grads, network.back(x, keep, trace, whole, grads))
+            adam.update(grads, *network.back(x, keep, trace, whole, grads, scattered=False))
 
     def score(self, network: Network, n_docs: int) -> np.ndarray:
         """Natural log probability of each document's symbols."""
@@ -411,8 +439,8 @@ class Vocabulary:
 class Tokens:
     """The tokens of some texts: distinct words, their codes in order (one code more is the end), and each text's cuts."""
 
-    def __init__(self, texts: list[str]):
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    def __init__(self, texts: pa.Array):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
         coded = split.values.dictionary_encode()
         codes, n = coded.indices.to_numpy().astype(np.int32), len(texts)
         named = pc.binary_length(coded.dictionary).to_numpy() > 0  # blanks at a text's borders leave empty pieces
@@ -433,10 +461,11 @@ class Tokens:
         return last * 6 + np.where(lengths > 11, 4, np.where(lengths > 6, 2, 0)) + (wide[offsets[1:]] > wide[offsets[:-1]])
 
 
-def token_slices(texts: list[str]) -> Iterator[tuple[int, Tokens]]:
-    """(place of the first text, tokens of some texts)."""
-    for start, end in slices_by_bytes([len(t) for t in texts], SLICE_CHARS):
-        yield start, Tokens(texts[start:end])
+def token_slices(texts: pa.Array) -> Iterator[tuple[int, Tokens]]:
+    """(place of the first text, tokens of some texts); a null text is empty."""
+    for start, end in slices_by_bytes(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
+        # taken, not sliced: kernels misread the cast of a slice, whose first offset is not zero
+        yield start, Tokens(texts.take(pa.array(np.arange(start, end))))
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,13 +476,13 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return whole.rename_columns(["token", "form", "n"])
 
     for batch in batches:
-        for _, tokens in token_slices(texts_of(batch.column(0))):
+        for _, tokens in token_slices(batch.column(0)):
             n = np.bincount(tokens.codes, minlength=len(tokens.words))
             met = np.flatnonzero(n)
             held.append(pa.table({"token": tokens.words.take(pa.array(met)), "form": pa.array(tokens.forms()[met], pa.int32()), "n": pa.array(n[met], pa.int64())}))
             if sum(map(len, held)) > COUNT_ROWS:
                 held[:] = [summed()]
-                if len(held[0]) > COUNT_ROWS // 2:
+                if 4 * len(held[0]) > 3 * COUNT_ROWS:
                     yield from held.pop().cast(COUNT_ARROW).combine_chunks().to_batches(50_000)
     if held:
         yield from summed().cast(COUNT_ARROW).combine_chunks().to_batches(50_000)
@@ -463,7 +492,7 @@ def training_buffers(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary)
     """The symbols of whole documents, about BUFFER_TOKENS at a time."""
     docs, held = [], 0
     for batch in batches:
-        for _, tokens in token_slices(texts_of(batch.column(1))):
+        for _, tokens in token_slices(batch.column(1)):
             symbols = vocabulary.of_words(tokens)[0][tokens.codes]
             docs += np.split(symbols, tokens.cuts[1:-1])
             held += len(symbols)
@@ -519,9 +548,9 @@ def train(spark: SparkSession, training: DataFrame, vocabulary: Vocabulary) -> n
     """The model's weights after the warm start and one pass of all tasks over all training(doc_id, text)."""
     ids = training.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_ROWS).distinct()
     warm = training.join(F.broadcast(ids), "doc_id").select("doc_id", "text").repartition(1).sortWithinPartitions("doc_id", "text")
-    rows = warm.mapInArrow(train_tasks(vocabulary, None, WARM_ROUNDS, 0.01), WEIGHT_SCHEMA).collect()
+    rows = warm.mapInArrow(train_tasks(vocabulary, None, WARM_ROUNDS, WARM_RATE), WEIGHT_SCHEMA).collect()
     flat = joined_weights(rows) if rows else Network(vocabulary.n_words).start_from(vocabulary).flat
-    copies = averaged(training.select("doc_id", "text").mapInArrow(train_tasks(vocabulary, flat, 1, 0.003), WEIGHT_SCHEMA))
+    copies = averaged(training.select("doc_id", "text").mapInArrow(train_tasks(vocabulary, flat, 1, RATE), WEIGHT_SCHEMA))
     folder, level = shared_folder(spark, "lm-weights"), 0
     while True:  # until one copy is left
         copies.write.parquet(f"{folder}/{level}")
@@ -551,7 +580,7 @@ def score_parts(vocabulary: Vocabulary, flat: np.ndarray):
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, tokens in token_slices(texts_of(batch.column(1))):
+            for first, tokens in token_slices(batch.column(1)):
                 symbols, places = vocabulary.of_words(tokens)
                 codes, starts, n = tokens.codes, tokens.cuts[:-1], len(tokens.cuts) - 1
                 logs = vocabulary.logs[places]  # zero outside the head
