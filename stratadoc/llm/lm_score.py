@@ -54,7 +54,6 @@ WARM_RATE, RATE = 0.02, 0.012
 GROUP, PART_FLOATS = 64, 1 << 16
 WEIGHT_SCHEMA = "task long, part int, n long, weights binary"
 COUNT_SCHEMA = "token binary, form int, n long"
-COUNT_ARROW = pa.schema([("token", pa.binary()), ("form", pa.int32()), ("n", pa.int64())])
 PART_SCHEMA = "row long, doc_id long, token binary, n long, n_tokens long, n_known long, head_sum double, rest double"
 
 
@@ -469,23 +468,31 @@ def token_slices(texts: pa.Array) -> Iterator[tuple[int, Tokens]]:
 
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.Table] = []
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []  # words, forms, numbers
 
-    def summed() -> pa.Table:
-        whole = pa.concat_tables(held).group_by(["token", "form"]).aggregate([("n", "sum")])
-        return whole.rename_columns(["token", "form", "n"])
+    def summed() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        coded = pa.concat_arrays([w for w, _, _ in held]).dictionary_encode()
+        codes, forms = coded.indices.to_numpy(), np.empty(len(coded.dictionary), np.int32)
+        forms[codes] = np.concatenate([f for _, f, _ in held])
+        numbers = np.bincount(codes, weights=np.concatenate([n for _, _, n in held]), minlength=len(forms))
+        return coded.dictionary, forms, numbers.astype(np.int64)
+
+    def rows(words: pa.Array, forms: np.ndarray, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(words), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(np.arange(len(words))[part])).cast(pa.binary()), pa.array(forms[part], pa.int32()), pa.array(numbers[part], pa.int64())], names=["token", "form", "n"])
 
     for batch in batches:
         for _, tokens in token_slices(batch.column(0)):
             n = np.bincount(tokens.codes, minlength=len(tokens.words))
             met = np.flatnonzero(n)
-            held.append(pa.table({"token": tokens.words.take(pa.array(met)), "form": pa.array(tokens.forms()[met], pa.int32()), "n": pa.array(n[met], pa.int64())}))
-            if sum(map(len, held)) > COUNT_ROWS:
+            held.append((tokens.words.take(pa.array(met)), tokens.forms()[met], n[met]))
+            if sum(len(w) for w, _, _ in held) > COUNT_ROWS:
                 held[:] = [summed()]
-                if 4 * len(held[0]) > 3 * COUNT_ROWS:
-                    yield from held.pop().cast(COUNT_ARROW).combine_chunks().to_batches(50_000)
+                if 4 * len(held[0][0]) > 3 * COUNT_ROWS:
+                    yield from rows(*held.pop())
     if held:
-        yield from summed().cast(COUNT_ARROW).combine_chunks().to_batches(50_000)
+        yield from rows(*summed())
 
 
 def training_buffers(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[list[np.ndarray]]:
@@ -629,12 +636,13 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1
     head = [(bytes(r.token), r.c, r.form) for r in counts.where(F.col("c") >= least).toLocalIterator()]
     vocabulary = Vocabulary(head, forms, n, v)
     flat = train(spark, training, vocabulary)
-    rows.mapInArrow(score_parts(vocabulary, flat), PART_SCHEMA).write.parquet(f"{folder}/parts")
-    parts = spark.read.schema(PART_SCHEMA).parquet(f"{folder}/parts")
-    tail = parts.where("token is not null").select("row", "token", "n").join(counts.where(F.col("c") < least).select("token", "c").hint("shuffle_hash"), "token", "left")
+    parts = rows.mapInArrow(score_parts(vocabulary, flat), PART_SCHEMA)
+    # a document's own row goes along under a key of its own: no word holds a line end
+    parts = parts.withColumn("token", F.coalesce("token", F.concat(F.lit(END + END), F.col("row").cast("string").cast("binary"))))
+    tail = counts.where(F.col("c") < least).select("token", "c").hint("shuffle_hash")
     c = F.coalesce("c", F.lit(0))
-    tail = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("tail_sum"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"))
-    whole = parts.where("token is null").join(tail, "row", "left")
+    sums = (F.sum(F.col("n") * F.log10(c + 0.5)).alias("tail_sum"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"))
+    whole = parts.join(tail, "token", "left").groupBy("row").agg(*(F.max(k).alias(k) for k in ("doc_id", "n_tokens", "n_known", "head_sum", "rest")), *sums)
     tail_sum = F.coalesce("tail_sum", F.lit(0.0))
     base = F.col("head_sum") + tail_sum - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
     return whole.select(
