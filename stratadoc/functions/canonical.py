@@ -9,11 +9,16 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 
+EXACT = 1 << 53
+UNESCAPED = re.compile(r'[^"\\\x00-\x1f]*')
 ESCAPES = {'"': '\\"', "\\": "\\\\", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
 def canonical_number(x: float | int) -> str:
+    if type(x) is int and -EXACT < x < EXACT:
+        return str(x)
     d = float(x)
     if math.isinf(d) or math.isnan(d):
         raise ValueError("not a JSON number")
@@ -28,6 +33,8 @@ def canonical_number(x: float | int) -> str:
 
 
 def canonical_string(s: str) -> str:
+    if UNESCAPED.fullmatch(s):
+        return f'"{s}"'
     return '"' + "".join(ESCAPES.get(c) or (f"\\u{ord(c):04X}" if c < " " else c) for c in s) + '"'
 
 
@@ -47,18 +54,54 @@ def canonical_json(value: object) -> str:
     raise TypeError(f"not a JSON value: {value!r}")
 
 
+def refuse(name: str) -> None:
+    raise ValueError(f"invalid JSON constant {name}")
+
+
+def number(literal: str) -> float:
+    if math.isinf(d := float(literal)):
+        raise ValueError("a number is out of range")
+    return d
+
+
+DECODER = json.JSONDecoder(parse_constant=refuse, parse_float=number, parse_int=number)
+
+
 def parse_json(text: str) -> object:
     """Python values of JSON text; NaN, infinities and numbers beyond doubles are refused; the last of equal keys stays."""
+    return DECODER.decode(text)
+
+
+def first_json(text: str) -> object:
+    """The first value of the text; what follows it is not looked at."""
+    return DECODER.raw_decode(text, len(text) - len(text.lstrip(" \t\r\n")))[0]
+
+
+class Special(ValueError):
+    """A document that the plain way does not cover."""
+
+
+def special(_: str) -> None:
+    raise Special
+
 
-    def refuse(name: str) -> None:
-        raise ValueError(f"invalid JSON constant {name}")
+#: Digits of an integer that a double may not hold, or control signs, whose escapes differ.
+PLAIN_LIMIT = re.compile(r"[0-9]{16}|\\u00|[\x00-\x1f]", re.ASCII)
+PLAIN_DECODER = json.JSONDecoder(parse_constant=special, parse_float=special)
+PLAIN_ENCODER = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":"), check_circular=False)
 
-    def number(literal: str) -> float:
-        if math.isinf(d := float(literal)):
-            raise ValueError("a number is out of range")
-        return d
 
-    return json.loads(text, parse_constant=refuse, parse_float=number, parse_int=number)
+def parsed_with_text(text: str) -> tuple[object, str]:
+    """(value, canonical text). Texts of short integers, strings without control signs and containers, the usual case, take
+    the library's own encoder, whose result is canonical for them; all others are encoded as above."""
+    if not PLAIN_LIMIT.search(text):
+        try:
+            value = PLAIN_DECODER.decode(text)
+            return value, PLAIN_ENCODER.encode(value)
+        except Special:
+            pass
+    value = parse_json(text)
+    return value, canonical_json(value)
 
 
 def record_hash(canonical: str) -> str:

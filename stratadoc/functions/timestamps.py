@@ -14,8 +14,8 @@ from stratadoc.errors import EngineError
 
 UNITS = (1, 1_000, 1_000_000, 1_000_000_000)
 FIRST, LAST = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (2000, 2101))  # years 2000 to 2100
-RFC3339 = r"^(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:\.(\d+))?(Z|[+-]\d{2}:\d{2})$"
-INTEGER = r"^[+-]?\d{1,19}$"
+RFC3339 = re.compile(r"(\d{4}-\d{2}-\d{2})T(\d{2}:\d{2}:\d{2})(?:\.(\d+))?(Z|[+-]\d{2}:\d{2})", re.ASCII)
+INTEGER = re.compile(r"[+-]?\d{1,19}", re.ASCII)
 
 
 def bad(value: object) -> EngineError:
@@ -39,13 +39,13 @@ def interpret(value: object, semantics: str = "reference") -> int:
         raise bad(value)
     if not isinstance(value, str):
         raise bad(value)
-    if re.match(INTEGER, value):
+    if INTEGER.fullmatch(value):
         n = int(value)
         for unit in UNITS:
             if FIRST <= n // unit < LAST:
                 return (n * 1_000_000 + unit // 2) // unit if exact else n // unit * 1_000_000 + (n % unit + 500) // 1000
         raise bad(value)
-    m = re.match(RFC3339, value)
+    m = RFC3339.fullmatch(value)
     if not m:
         raise bad(value)
     try:

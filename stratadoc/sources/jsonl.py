@@ -23,14 +23,15 @@ def lines_frame(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "index long, line string")
 
 
-def body_lines(body: str, limits: Limits = Limits()) -> list[str]:
-    """The lines of a request body, blank ones included; too many are refused, and a line over the limit ends the scan."""
+def body_lines(body: str, limits: Limits = Limits(), semantics: str = "reference") -> list[str]:
+    """The lines of a request body, blank ones included; too many are refused. In reference semantics a line over the limit ends
+    the scan; in intended semantics it is an item of its own, which parsing refuses as too long."""
     lines = body.split("\n")
     if lines and lines[-1] == "":
         lines.pop()
     kept = []
     for line in lines:
-        if len(line.encode()) > limits.line_bytes:
+        if semantics == "reference" and len(line.encode()) > limits.line_bytes:
             break
         kept.append(line.removesuffix("\r"))
     if len(kept) > limits.request_lines:
@@ -50,7 +51,7 @@ def directory_files(spark: SparkSession, folder: str, pattern: str = FILE_PATTER
     files = files.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     keep = F.regexp_like(base, F.lit(f"^(?:{pattern})$"))
     for suffix in EXCLUDED_SUFFIXES:
-        keep = keep & ~F.endswith(base, F.lit(suffix))
+        keep = keep & ~F.endswith(F.lower(base), F.lit(suffix))
     return files.where(keep)
 
 
