@@ -14,13 +14,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratadoc.config import Limits
 from stratadoc.errors import EngineError
-from stratadoc.functions.canonical import canonical_json, parse_json
+from stratadoc.functions.canonical import canonical_json, canonical_string, parsed_with_text
 from stratadoc.functions.timestamps import interpret
 from stratadoc.operators.flatten import flatten_value, index_entries, shape_hash
 
@@ -31,11 +32,13 @@ TIMESTAMP_KEYS = ("timestamp", "record_timestamp", "event_timestamp", "record_ti
 DELETION_MARKER = "_deletion_marker"
 SUPERSEDES = "supersedes_id"
 LOCKED_UNTIL = "locked_until"
+OWN_KEYS = frozenset((*RECORD_ID_KEYS, *ENTITY_ID_KEYS, *TIMESTAMP_KEYS))
 FALSE_FRIENDS = ("supersedes_uuid", "supersedes", "locked_until_time", "locked_until_timestamp")
 ZERO_UUID = "00000000-0000-0000-0000-000000000000"
 HYPHENATED = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 UUID = re.compile(rf"(?:(?:urn:uuid:)?{HYPHENATED}|\{{{HYPHENATED}\}}|[0-9a-f]{{32}})", re.IGNORECASE | re.ASCII)
 
+SMALL_BYTES, TASK_BYTES = 256 << 10, 32 << 20
 PARSED_SCHEMA = (
     "index long, error_id string, record_id string, explicit_entity_id string, record_micros long, record_hash string, shape_hash string, content_hash string, "
     "record_data string, lock_micros long, supersedes_id string, is_deletion_marker boolean, paths array<string>, entries array<struct<key_name:string,value:string>>"
@@ -72,19 +75,18 @@ def sha256(text: str) -> str:
 
 
 def parse_record(line: str | None, limits: Limits = Limits(), semantics: str = "reference") -> dict:
-    """The parsed columns of one line, without index; raises an EngineError for a bad one."""
+    """The parsed columns of one line, without index, entries as (key_name, value); raises an EngineError for a bad one."""
     text = (line or "").strip()
     if "\n" in text:
         raise EngineError("bad_record.multiline")
     if len(text.encode()) > limits.record_bytes:
         raise EngineError("bad_record.too_long")
     try:
-        document = parse_json(text)
-        canonical = canonical_json(document)
-        canonical.encode()
+        document, canonical = parsed_with_text(text)
+        size = len(canonical.encode())
     except (ValueError, RecursionError):
         raise EngineError("bad_record.invalid_json") from None
-    if len(canonical.encode()) > limits.record_bytes:
+    if size > limits.record_bytes:
         raise EngineError("bad_record.too_long")
     if not isinstance(document, dict):
         raise EngineError("bad_record.not_an_object")
@@ -113,23 +115,31 @@ def parse_record(line: str | None, limits: Limits = Limits(), semantics: str = "
             lock = interpret(document[LOCKED_UNTIL], semantics)
         except EngineError:
             raise EngineError("bad_record.invalid_locked_until") from None
-    own = {k: v for k, v in document.items() if k not in (*RECORD_ID_KEYS, *ENTITY_ID_KEYS, *TIMESTAMP_KEYS)}
+    own = ",".join(f"{canonical_string(k)}:{canonical_json(document[k])}" for k in sorted(document) if k not in OWN_KEYS)
     return {
         "record_id": record_id,
         "explicit_entity_id": entity_id,
         "record_micros": micros,
         "record_hash": sha256(canonical),
         "shape_hash": shape_hash(paths),
-        "content_hash": sha256(canonical_json(own)),
+        "content_hash": sha256(f"{{{own}}}"),
         "record_data": canonical,
         "lock_micros": lock,
         "supersedes_id": supersedes if isinstance(supersedes, str) else None,
         "is_deletion_marker": DELETION_MARKER in document,
         "paths": paths,
-        "entries": [{"key_name": p, "value": v} for p, v in index_entries(nodes)],
+        "entries": index_entries(nodes),
     }
 
 
+def spread(lines: DataFrame) -> DataFrame:
+    """The lines dealt to all cores if the optimizer expects too few bytes for the scan to be cut into that many tasks:
+    parsing costs far more than moving them. Large inputs, and single requests, stay as they are."""
+    size = int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = lines.sparkSession.sparkContext.defaultParallelism
+    return lines.repartition(cores) if SMALL_BYTES < size < cores * TASK_BYTES else lines
+
+
 def parse_lines(lines: DataFrame, namespace: str, limits: Limits = Limits(), semantics: str = "reference") -> DataFrame:
     """Records, or an error_id, for lines(index, line): the columns of the records table, paths and entries."""
 
@@ -137,14 +147,20 @@ def parse_lines(lines: DataFrame, namespace: str, limits: Limits = Limits(), sem
         for whole in batches:
             for at in range(0, len(whole), 1000):
                 batch, rows = whole.slice(at, 1000), []
-                for index, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for line in batch.column(1).to_pylist():
                     try:
-                        rows.append({"index": index, **parse_record(line, limits, semantics)})
+                        rows.append(parse_record(line, limits, semantics))
                     except EngineError as e:
-                        rows.append({"index": index, "error_id": e.error_id})
-                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], ARROW[k]) for n, k in FIELDS], names=[n for n, _ in FIELDS])
-
-    parsed = lines.selectExpr("cast(index as long) index", "cast(line as string) line").mapInArrow(run, PARSED_SCHEMA)
+                        rows.append({"error_id": e.error_id})
+                plain = [pa.array([r.get(n) for r in rows], ARROW[k]) for n, k in FIELDS[1:-1]]
+                entries = [r.get("entries") for r in rows]
+                cuts = np.cumsum([0, *(len(e or ()) for e in entries)])
+                pairs = [p for e in entries if e for p in e]
+                both = pa.StructArray.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string())], names=["key_name", "value"])
+                listed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), both, mask=pa.array([e is None for e in entries]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *plain, listed], names=[n for n, _ in FIELDS])
+
+    parsed = spread(lines.selectExpr("cast(index as long) index", "cast(line as string) line")).mapInArrow(run, PARSED_SCHEMA)
     return parsed.select(
         "index",
         F.lit(namespace).alias("namespace"),
