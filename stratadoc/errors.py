@@ -44,6 +44,7 @@ STATUS = {
     "internal_error.not_implemented": 500,
     "internal_error.null_value": 500,
     "internal_error.duplicate_id": 500,
+    "internal_error.superseded_within_group": 500,
     "unknown_error": 500,
 }
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratadoc.errors import EngineError
-from stratadoc.functions.canonical import canonical_json, parse_json
+from stratadoc.functions.canonical import canonical_json, first_json, parse_json
 from stratadoc.operators.flatten import field_index
 from stratadoc.operators.metadata import RECORD_ID_KEYS, TIMESTAMP_KEYS, ZERO_UUID, parse_lines
 from stratadoc.sources.jsonl import lines_frame
@@ -59,8 +59,11 @@ def some(df: DataFrame) -> dict | None:
 
 def classify(parsed: DataFrame, stored: DataFrame, semantics: str = "reference") -> DataFrame:
     """parsed with entity_id, `repeat` (place among equal ids of the call) and its outcome against the stored records."""
-    by_id = stored.select("record_id", F.col("record_hash").alias("_hash"), F.col("entity_id").alias("_stored_entity"))
-    targets = stored.select(F.col("record_id").alias("_target"), F.col("entity_id").alias("_inherited"))
+    # of the stored records only those that the call names, without their documents
+    named = parsed.select(F.explode(F.array("record_id", "supersedes_id")).alias("record_id")).where("record_id is not null").distinct()
+    known = stored.select("record_id", "record_hash", "entity_id").join(named, "record_id", "left_semi")
+    by_id = known.select("record_id", F.col("record_hash").alias("_hash"), F.col("entity_id").alias("_stored_entity"))
+    targets = known.select(F.col("record_id").alias("_target"), F.col("entity_id").alias("_inherited"))
     # most rows supersede nothing and bad lines have no id: keys of their own keep them from meeting in one task
     own = F.concat(F.lit("line "), F.col("index").cast("string"))
     df = parsed.withColumn("_key", F.coalesce("record_id", own)).withColumn("_target", F.coalesce("supersedes_id", own))
@@ -77,14 +80,18 @@ def classify(parsed: DataFrame, stored: DataFrame, semantics: str = "reference")
     ).withColumn("inserted", fine & known.isNull())
 
 
-def check_call(df: DataFrame, store: Store, namespace: str, stored: DataFrame, semantics: str) -> None:
-    """Conditions that refuse the whole call."""
+def check_call(df: DataFrame, store: Store, namespace: str, stored: DataFrame, semantics: str, apart: bool = False) -> None:
+    """Conditions that refuse the whole call; with `apart` also that a record supersedes another of the call."""
     fine = df.where(F.col("explicit_or_parsed_ok"))
+    if apart:
+        within = fine.where("supersedes_id is not null").select(F.col("supersedes_id").alias("record_id")).join(fine.where("inserted").select("record_id"), "record_id", "left_semi")
+        if found := some(within.limit(1)):
+            raise EngineError("internal_error.superseded_within_group", "a record supersedes one of the same group", **found)
     twice = some(fine.where("supersedes_id is not null").groupBy("supersedes_id").count().where("count > 1").limit(1))
     if twice:
         raise EngineError("bad_request.duplicate_supersedes", "two records of the call supersede the same one", supersedes_id=twice["supersedes_id"])
     superseding = fine.where("supersedes_id is not null")
-    taken = stored.where("supersedes_id is not null").select("supersedes_id", F.col("record_id").alias("_by"))
+    taken = store.read("superseded", namespace).select(F.col("record_id").alias("supersedes_id"), F.col("by_record_id").alias("_by"))
     conflict = superseding.join(taken, "supersedes_id")
     if semantics == "intended":  # the same record again is a harmless duplicate
         conflict = conflict.where(F.col("_by") != F.col("record_id"))
@@ -108,8 +115,9 @@ def check_call(df: DataFrame, store: Store, namespace: str, stored: DataFrame, s
             raise EngineError("bad_record.entity_has_active_record", "the entity has an active record", **found)
 
 
-def ingest_lines(store: Store, namespace: str, lines: DataFrame, batch_name: str | None = None, batch_time: datetime | None = None, also: dict[str, DataFrame] | None = None) -> IngestResult:
-    """One commit of lines(index, line); also: rows for other tables, written in the same commit."""
+def ingest_lines(store: Store, namespace: str, lines: DataFrame, batch_name: str | None = None, batch_time: datetime | None = None, also: dict[str, DataFrame] | None = None, at_once: bool = False, apart: bool = False) -> IngestResult:
+    """One commit of lines(index, line); also: rows for other tables, written in the same commit; at_once: what a record of the
+    call supersedes is superseded even if it is of the call as well."""
     store.config.check_namespace(namespace)
     spark, semantics, commit = store.spark, store.config.semantics, store.next_commit()
     staged = store.staging(commit, uuid.uuid4().hex)
@@ -117,14 +125,27 @@ def ingest_lines(store: Store, namespace: str, lines: DataFrame, batch_name: str
     parse_lines(lines, namespace, store.config.limits, semantics).write.parquet(f"{staged}-parsed")
     parsed = spark.read.parquet(f"{staged}-parsed")
     stored = store.collection(namespace).records
-    df = classify(parsed, stored, semantics).withColumn("explicit_or_parsed_ok", F.col("inserted") | F.col("already_present") | (F.col("error_id") == "bad_record.reusing_id"))
-    check_call(df, store, namespace, stored, semantics)
-    df.drop("paths", "entries", "record_data").write.parquet(f"{staged}-outcome")
+    df = classify(parsed.drop("paths", "entries", "record_data"), stored, semantics).withColumn("explicit_or_parsed_ok", F.col("inserted") | F.col("already_present") | (F.col("error_id") == "bad_record.reusing_id"))
+    try:
+        check_call(df, store, namespace, stored, semantics, apart)
+    except EngineError:
+        store.filesystem().delete(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}-parsed"), True)
+        raise
+    df.write.parquet(f"{staged}-outcome")
     outcome = spark.read.parquet(f"{staged}-outcome")
     fresh = outcome.where("inserted").select("index", F.col("entity_id"))
     rows = parsed.join(fresh, "index")
-    store.append(commit, "records", rows)
-    store.append(commit, "field_index", field_index(rows))
+    found = outcome.where("inserted").agg(F.count(F.lit(1)).alias("n"), F.count("supersedes_id").alias("superseding"), F.count_if(F.col("entity_id") != F.col("record_id")).alias("versions")).first()
+    if found.n:
+        store.append(commit, "records", rows)
+        index = field_index(rows)
+        store.append(commit, "field_index", index)
+        store.append(commit, "key_counts", index.groupBy("namespace", "key_name").agg(F.count(F.lit(1)).alias("n")))
+    if found.superseding:
+        marks = outcome.where("inserted and supersedes_id is not null")
+        store.append(commit, "superseded", marks.select(F.col("supersedes_id").alias("record_id"), F.col("record_id").alias("by_record_id"), F.lit(at_once).alias("at_once"), "namespace"))
+    if found.versions:
+        store.append(commit, "entities", outcome.where("inserted and entity_id != record_id"))
     # the dictionary also learns the keys of records that are refused or known
     source = parsed.where("error_id is null") if semantics == "reference" else rows
     keys = source.select("namespace", F.explode("paths").alias("key_name")).distinct()
@@ -135,6 +156,8 @@ def ingest_lines(store: Store, namespace: str, lines: DataFrame, batch_name: str
     for table, extra in (also or {}).items():
         store.append(commit, table, extra)
     store.mark(commit)
+    # the status is read later, the rest is not
+    store.filesystem().delete(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}-parsed"), True)
     status = outcome.select("index", "record_id", F.col("error_id").isNull().alias("ok"), "already_present", "inserted", "error_id")
     return IngestResult(commit, status)
 
@@ -177,6 +200,58 @@ def upsert(store: Store, namespace: str, document: dict) -> dict:
     return {"entity_id": parsed.explicit_entity_id, "record_id": parsed.record_id, "superseded_record_id": old.record_id if old else none, "created": old is None, "updated": True}
 
 
+@dataclass
+class UpsertResult:
+    """status: (index, entity_id, record_id, outcome, error_id) per item; outcome: created, updated, unchanged or refused."""
+
+    status: DataFrame
+    inserted: IngestResult
+
+
+def upsert_lines(store: Store, namespace: str, lines: DataFrame) -> UpsertResult:
+    """Upserts lines(index, line) in one commit, as if each had been sent by itself, an entity's in the order of their times.
+
+    An item is refused if it is no record, has no entity id, is older than its entity's active record, or states another record to
+    supersede than that one. Each entity's items form a chain: an item that changes nothing but id and time is left out; any
+    other supersedes the one before it. What a version supersedes is part of its content, so only an entity's first version can be
+    equal to a document that does not say so.
+    """
+    spark, semantics = store.spark, store.config.semantics
+    staged = store.staging(store.next_commit(), uuid.uuid4().hex)
+    parse_lines(lines, namespace, store.config.limits, semantics).drop("paths", "entries").write.parquet(f"{staged}-upserts")
+    parsed = spark.read.parquet(f"{staged}-upserts").withColumnRenamed("explicit_entity_id", "entity_id")
+    called = parsed.where("entity_id is not null").select("entity_id").distinct()
+    shown = store.collection(namespace).records.where("not is_superseded and not is_deletion_marker")
+    latest = lambda c: F.max_by(c, F.struct("record_timestamp", "record_id")).alias(f"_active_{c}")
+    active = shown.select("entity_id", "record_id", "record_timestamp", "content_hash").join(called, "entity_id", "left_semi")
+    active = active.groupBy("entity_id").agg(*(latest(c) for c in ("record_id", "record_timestamp", "content_hash")))
+    # items without an entity have keys of their own and do not meet in one task
+    own = F.concat(F.lit("line "), F.col("index").cast("string"))
+    df = parsed.withColumn("_key", F.coalesce("entity_id", own)).join(active.withColumnRenamed("entity_id", "_key"), "_key", "left")
+    error = F.when(F.col("error_id").isNotNull(), F.col("error_id")).when(F.col("entity_id").isNull(), "bad_request.upsert.missing_entity_id")
+    error = error.when(F.col("record_timestamp") < F.col("_active_record_timestamp"), "bad_request.upsert_timestamp_back")
+    error = error.when(F.col("supersedes_id").isNotNull() & ~F.col("supersedes_id").eqNullSafe(F.col("_active_record_id")), "bad_request.supersede_mismatch")
+    df = df.withColumn("error_id", error)
+    chain = Window.partitionBy("_key", F.col("error_id").isNull()).orderBy("record_timestamp", "index")
+    earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_differs", F.col("content_hash") != F.coalesce("_active_content_hash", F.first("content_hash").over(chain)))
+    fresh = F.col("_active_content_hash").isNull() & (F.row_number().over(chain) == 1)
+    same = ~F.col("_differs") & ~F.coalesce(F.max("_differs").over(earlier), F.lit(False))
+    df = df.withColumn("outcome", F.when(F.col("error_id").isNotNull(), "refused").when(fresh, "created").when(same, "unchanged").otherwise("updated"))
+    kept = F.when(F.col("outcome").isin("created", "updated"), F.col("record_id"))
+    last = F.last(kept, ignorenulls=True).over(earlier)
+    df = df.withColumn("_after", F.coalesce(last, F.col("_active_record_id")))
+    df.select("index", "entity_id", "record_id", "outcome", "error_id", "_after", F.when(kept.isNotNull(), F.col("record_data")).alias("record_data")).write.parquet(f"{staged}-chain")
+    done = spark.read.parquet(f"{staged}-chain")
+    link = F.concat(F.lit('{"supersedes_id":"'), "_after", F.lit('",'), F.expr("substring(record_data, 2)"))
+    fresh = done.where("record_data is not null").select("index", F.coalesce(link, F.col("record_data")).alias("line"))
+    result = ingest_lines(store, namespace, fresh, at_once=True)
+    refused = result.status.where("error_id is not null").select("index", F.col("error_id").alias("_refused"))
+    status = done.join(refused, "index", "left")
+    status = status.select("index", "entity_id", "record_id", F.when(F.col("_refused").isNotNull(), "refused").otherwise(F.col("outcome")).alias("outcome"), F.coalesce("_refused", "error_id").alias("error_id"))
+    return UpsertResult(status, result)
+
+
 def upsert_outcomes(versions: DataFrame) -> DataFrame:
     """For versions(entity_id, record_id, record_timestamp, content_hash) in time order: what an upsert of each would do."""
     w = Window.partitionBy("entity_id").orderBy("record_timestamp", "record_id")
@@ -219,9 +294,10 @@ def is_entity_alias(name: str) -> bool:
     return name.lower().replace("-", "").replace("_", "") in ("ent", "entity", "entityid")
 
 
-def document_text(text: str) -> dict:
+def document_text(text: str, semantics: str = "reference") -> dict:
+    """The object that a request body holds; in reference semantics what follows it is ignored."""
     try:
-        value = parse_json(text)
+        value = first_json(text) if semantics == "reference" else parse_json(text)
     except ValueError as e:
         raise EngineError("bad_record.invalid_json", str(e)) from None
     if not isinstance(value, dict):

@@ -18,18 +18,24 @@ from pyspark.sql import functions as F
 from stratadoc.errors import EngineError
 from stratadoc.plans.spec import CompiledQuery
 
+#: Versions of an entity that are looked up by their ids; beyond them, records are searched by entity.
+MOST_VERSIONS = 1000
 RECORD_COLUMNS = ("record_id", "entity_id", "record_timestamp", "record_data")
 
 
 @dataclass
 class Collection:
-    """One namespace: records (with is_superseded), field index and key dictionary."""
+    """One namespace: records (with is_superseded), field index and key dictionary; and, of a store, the records without that
+    flag, the versions of entities that have a name of their own, and the index rows by path."""
 
     spark: SparkSession
     namespace: str
     records: DataFrame
     index: DataFrame
     keys: DataFrame
+    stored: DataFrame | None = None
+    entities: DataFrame | None = None
+    key_counts: DataFrame | None = None
 
 
 def both(tests: list[Column]) -> Column:
@@ -115,9 +121,19 @@ def ordered(r: DataFrame, q: CompiledQuery) -> DataFrame:
     return r.orderBy(*(F.col(k).desc() if down else F.col(k) for k in keys))
 
 
-def records_query(c: Collection, q: CompiledQuery, semantics: str = "reference", now: object | None = None) -> DataFrame:
-    r = ordered(match(c, q, semantics, now).select(*RECORD_COLUMNS), q)
-    return r.limit(q.limit) if q.limit > 0 else r
+def records_query(c: Collection, q: CompiledQuery, semantics: str = "reference", now: object | None = None, columns: tuple[str, ...] = RECORD_COLUMNS) -> DataFrame:
+    """The matching records in order. They are found without their documents, which are joined to the result by id: a limited
+    result is small, so the documents are not shuffled for it."""
+    narrow = [x for x in RECORD_COLUMNS if x != "record_data"]
+    r = ordered(match(c, q, semantics, now).select(*narrow), q)
+    r = r.limit(q.limit) if q.limit > 0 else r
+    if "record_data" not in columns:
+        return r.select(*columns)
+    if q.order[0] == "random":  # an order that a join would lose
+        r = r.withColumn("_place", F.monotonically_increasing_id())
+    documents = (c.records if c.stored is None else c.stored).select("record_id", "record_data")
+    r = r.join(documents, "record_id")
+    return (r.orderBy("_place") if q.order[0] == "random" else ordered(r, q)).select(*columns)
 
 
 def envelope(r: DataFrame, namespace: str) -> DataFrame:
@@ -136,8 +152,20 @@ def display(key: Column | str) -> Column:
 def fields_query(c: Collection, q: CompiledQuery, semantics: str = "reference", limit: int = 1000, now: object | None = None) -> DataFrame:
     """(field, count) of the index rows of matching records, most first; the fixed limit, or the request's if intended."""
     limit = limit if semantics == "reference" else q.limit
-    rows = match(c, q, semantics, now).select("record_id").join(c.index.select("record_id", "key_name"), "record_id")
-    out = rows.groupBy("key_name").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "key_name")
+    if c.key_counts is not None and not q.filter.paths() and not q.exclude.paths() and q.start is None and q.end is None and not q.omit_locked:
+        # every record but those hidden or superseded: the stored counts less the index rows of these few
+        out_of_sight = F.lit(False)
+        if q.omit_superseded:
+            out_of_sight = out_of_sight | F.col("is_superseded")
+        if q.omit_hidden:
+            out_of_sight = out_of_sight | F.col("is_deletion_marker")
+        less = c.index.select("record_id", "key_name").join(c.records.where(out_of_sight).select("record_id"), "record_id", "left_semi")
+        less = less.groupBy("key_name").agg((-F.count(F.lit(1))).alias("n"))
+        out = c.key_counts.select("key_name", "n").unionByName(less).groupBy("key_name").agg(F.sum("n").alias("count")).where("count > 0")
+    else:
+        rows = match(c, q, semantics, now).select("record_id").join(c.index.select("record_id", "key_name"), "record_id")
+        out = rows.groupBy("key_name").agg(F.count(F.lit(1)).alias("count"))
+    out = out.orderBy(F.desc("count"), "key_name")
     out = out.limit(limit) if limit > 0 else out
     return out.select(display("key_name").alias("field"), "count")
 
@@ -180,13 +208,23 @@ def values_query(c: Collection, q: CompiledQuery, fields: list[str], semantics:
 
 
 def lookup_record(c: Collection, record_id: str) -> DataFrame:
-    """A record by id, whatever its flags."""
-    return c.records.where(F.col("record_id") == record_id).select(*RECORD_COLUMNS)
+    """A record by id, whatever its flags; files are clustered by it."""
+    return (c.records if c.stored is None else c.stored).where(F.col("record_id") == record_id).select(*RECORD_COLUMNS)
 
 
 def lookup_entity(c: Collection, entity_id: str) -> DataFrame:
-    """An entity's active record: the latest, if there should be several."""
-    active = c.records.where((F.col("entity_id") == entity_id) & ~F.col("is_superseded") & ~F.col("is_deletion_marker"))
+    """An entity's active record: the latest, if there should be several.
+
+    Its versions' ids come from the table of entities, which is clustered by entity, and from the record of the same name; the
+    few that there are are then looked up by id.
+    """
+    wanted = F.col("entity_id") == entity_id
+    records = c.records
+    if c.entities is not None:
+        ids = [r.record_id for r in c.entities.where(wanted).select("record_id").limit(MOST_VERSIONS + 1).collect()]
+        if len(ids) <= MOST_VERSIONS:  # more would not be a lookup by id any more
+            records = records.where(F.col("record_id").isin([entity_id, *ids]))
+    active = records.where(wanted & ~F.col("is_superseded") & ~F.col("is_deletion_marker"))
     return active.orderBy(F.desc("record_timestamp"), F.desc("record_id")).limit(1).select(*RECORD_COLUMNS)
 
 

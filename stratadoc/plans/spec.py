@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from stratadoc.config import Limits
 from stratadoc.errors import EngineError
-from stratadoc.functions.canonical import canonical_json, parse_json
+from stratadoc.functions.canonical import canonical_json, first_json, parse_json
 from stratadoc.functions.timestamps import interpret
 
 FIELDS = ("wildcard", "filter", "exclude", "raw", "omit_superseded", "omit_hidden", "omit_locked", "treat_nulls_as_absent", "timestamp_start", "timestamp_end", "order_by", "limit")
@@ -99,7 +99,7 @@ def compile_query(request: dict | str, limits: Limits = Limits(), semantics: str
     """The compiled form of a request, given as JSON text or as its Python value."""
     if isinstance(request, str):
         try:
-            request = parse_json(request)
+            request = first_json(request) if semantics == "reference" else parse_json(request)
         except ValueError as e:
             raise invalid(f"invalid JSON: {e}") from None
     q = known_fields(request, FIELDS, "the query")
