@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import json
+import time
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +20,16 @@ from stratadoc.sources.jsonl import body_lines, lines_frame
 from stratadoc.sources.store import Store
 
 
+def basic_login(header: str) -> tuple[str | None, str | None]:
+    """(name, secret) of a basic Authorization header; (None, None) of any other."""
+    kind, _, text = header.partition(" ")
+    try:
+        name, colon, secret = base64.b64decode(text, validate=True).decode().partition(":")
+    except ValueError:
+        return None, None
+    return (name, secret) if kind.lower() == "basic" and colon else (None, None)
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, config: Config = Config()):
         self.spark, self.config = spark, config
@@ -91,15 +104,15 @@ class Engine:
     # writes
 
     def write_record(self, namespace: str, body: str) -> dict:
-        return ingest.insert_one(self.store, self.config.check_namespace(namespace), ingest.document_text(body))
+        return ingest.insert_one(self.store, self.config.check_namespace(namespace), ingest.document_text(body, self.config.semantics))
 
     def upsert(self, namespace: str, body: str) -> tuple[int, dict]:
         """(status, response): 201 if a version was written, 200 if nothing changed."""
-        out = ingest.upsert(self.store, self.config.check_namespace(namespace), ingest.document_text(body))
+        out = ingest.upsert(self.store, self.config.check_namespace(namespace), ingest.document_text(body, self.config.semantics))
         return (201 if out["updated"] else 200), out
 
     def write_jsonl(self, namespace: str, body: str, batch_name: str | None = None) -> dict:
-        lines = body_lines(body, self.config.limits)
+        lines = body_lines(body, self.config.limits, self.config.semantics)
         result = ingest.ingest_lines(self.store, namespace, lines_frame(self.spark, lines), batch_name)
         stats = result.summary()
         ranges = [{k: v for k, v in r.asDict().items() if v is not None} for r in ingest.status_ranges(result.status).collect()]
@@ -124,10 +137,17 @@ class Engine:
 
     # one entry for all, by method and path
 
-    def call(self, method: str, path: str, body: str = "") -> tuple[int, dict]:
-        """The response to a request of the HTTP surface: (status, body)."""
+    def call(self, method: str, path: str, body: str = "", headers: dict[str, str] | None = None) -> tuple[int, dict]:
+        """The response to a request of the HTTP surface: (status, body). headers: Host and Authorization (basic) decide, with
+        the configured clients, whether the call is served; one that is not takes a second at least, whatever was wrong."""
+        began, parts = time.monotonic(), [unquote(p) for p in path.split("?")[0].split("/") if p]
+        given = {k.lower(): v for k, v in (headers or {}).items()}
+        name, secret = basic_login(given.get("authorization", ""))
+        if len(parts) > 2 and parts[0] == "api" and not self.config.allows(given.get("host"), name, secret, parts[2], parts[1]):
+            time.sleep(max(0.0, began + self.config.limits.refusal_seconds - time.monotonic()))
+            return 401, {"error": "Unauthorized"}
         try:
-            return self._route(method, [p for p in path.split("/") if p], body)
+            return self._route(method, parts, body)
         except EngineError as e:
             return e.status, e.envelope()
 
@@ -152,7 +172,7 @@ class Engine:
             case ("POST", "api", "ingest", ns, "jsonl"):
                 return 200, self.write_jsonl(ns, body)
             case ("POST", "api", "ingest", ns, "batches", "check"):
-                return 200, self.check_batches(ns, ingest.document_text(body))
+                return 200, self.check_batches(ns, ingest.document_text(body, self.config.semantics))
             case ("GET", "api", "ingest", ns, "batches", name):
                 return 200, self.check_batch(ns, name)
             case ("POST", "api", "ingest", ns, "batches", name, "jsonl"):

@@ -1,4 +1,5 @@
-"""A thin command line over the engine: put, get, list, query, fields, values, hide, override, ingest, sync, watch, stats."""
+"""A thin command line over the engine: put, get, list, query, fields, values, hide, override, ingest, sync, watch, stats,
+compact, server, config, version."""
 
 from __future__ import annotations
 
@@ -6,13 +7,15 @@ import argparse
 import json
 import sys
 from collections.abc import Iterator
+from pathlib import Path
 
+from stratadoc import __version__
 from stratadoc.api import Engine
-from stratadoc.config import Config
+from stratadoc.config import Access, Client, Config
 from stratadoc.functions.canonical import parse_json
 from stratadoc.operators import ingest
 from stratadoc.plans.planner import envelope
-from stratadoc.sources.store import human_bytes
+from stratadoc.sources.store import VERSION, human_bytes
 
 
 def count_lines(rows: list[dict], indent: str = "") -> Iterator[str]:
@@ -53,11 +56,21 @@ def run(engine: Engine, args: argparse.Namespace) -> Iterator[str]:
         from stratadoc.streaming.sync import sync_directory
 
         done = sync_directory(engine.store, ns, args.path)
-        yield pretty(done.summary() if done else {"new": 0})
+        yield pretty({**done.summary(), "errors": done.errors} if done else {"new": 0})
     elif args.command == "watch":
         from stratadoc.streaming.sync import watch_directory
 
         watch_directory(engine.store, ns, args.path, args.checkpoint).awaitTermination()
+    elif args.command == "compact":
+        yield pretty({"base": engine.store.compact(), "deleted_folders": engine.store.clean()})
+    elif args.command == "server":
+        from stratadoc.server import make_server
+
+        make_server(engine, args.host, args.port).serve_forever()
+    elif args.command == "config":
+        yield from config_lines()
+    elif args.command == "version":
+        yield f"stratadoc {__version__}, store layout {VERSION}"
     elif args.command == "stats":
         out = engine.stats(ns)
         yield pretty({**out, "table_bytes": {k: human_bytes(v) for k, v in out["table_bytes"].items()}})
@@ -87,16 +100,38 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("path")
         if name == "watch":
             s.add_argument("--checkpoint", required=True)
-    sub.add_parser("stats")
+    for name in ("stats", "compact", "config", "version"):
+        sub.add_parser(name)
+    server = sub.add_parser("server")
+    server.add_argument("--host", default="127.0.0.1")
+    server.add_argument("--port", type=int, default=8000)
     return p
 
 
+def config_files() -> list[Path]:
+    """Where clients and limits may be configured, the first that is there counts."""
+    return [Path.cwd() / ".stratadoc.json", Path.home() / ".config" / "stratadoc" / "config.json"]
+
+
+def config_lines() -> Iterator[str]:
+    for path in config_files():
+        yield f"\t[{'exists' if path.exists() else 'missing'}]\t{path}"
+
+
+def load_config(args: argparse.Namespace) -> Config:
+    """The first configuration file's clients and host, and the command line's namespace and semantics."""
+    path = next((p for p in config_files() if p.exists()), None)
+    found = json.loads(path.read_text()) if path else {}
+    clients = tuple(Client(c["name"], c["secret"], {ns: Access(**a) for ns, a in c.get("access", {}).items()}) for c in found.get("clients", ()))
+    return Config(namespaces=tuple(dict.fromkeys([args.namespace, *found.get("namespaces", ())])), clients=clients, semantics=args.semantics, accept_host=found.get("accept_host"))
+
+
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("stratadoc").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    engine = Engine(spark, args.root, Config(namespaces=(args.namespace,), semantics=args.semantics))
+    engine = Engine(spark, args.root, load_config(args))
     for line in run(engine, args):
         print(line)
     return 0

@@ -18,6 +18,8 @@ class Limits:
     line_bytes: int = 1 << 20
     sync_batch_bytes: int = 1 << 20
     debounce_seconds: int = 60
+    sync_group_bytes: int = 16 << 20  # of consecutive new batches that are tried as one commit
+    refusal_seconds: float = 1.0  # how long an unauthorized call takes at least
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,7 @@ class Config:
     clients: tuple[Client, ...] = ()
     limits: Limits = Limits()
     semantics: str = "reference"
+    accept_host: str | None = None  # the Host that calls must name; None: any
 
     def __post_init__(self) -> None:
         if self.semantics not in ("reference", "intended"):
@@ -53,6 +56,12 @@ class Config:
             raise EngineError("bad_request.unknown_namespace", f"unknown namespace: {namespace}", namespace=namespace)
         return namespace
 
+    def allows(self, host: str | None, name: str | None, secret: str | None, namespace: str, kind: str) -> bool:
+        """Whether a call may go on. Without configured clients the engine is used within one process, by its owner."""
+        if self.accept_host is not None and host != self.accept_host:
+            return False
+        return not self.clients or self.authorize(name or "", secret or "", namespace, kind)
+
     def authorize(self, name: str, secret: str, namespace: str, kind: str) -> bool:
         import hmac
 
