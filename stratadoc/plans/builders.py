@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadoc.config import Config, Limits
-from stratadoc.operators.flatten import field_index
+from stratadoc.operators.ingest import ingest_lines
 from stratadoc.operators.metadata import parse_lines
 from stratadoc.plans.planner import Collection
-from stratadoc.sources.store import Store, with_superseded
+from stratadoc.sources.store import Store
 
-CONFIG = Config(namespaces=("events", "orders", "conversations", "texts", "history", "optional"))
+CONFIG = Config(namespaces=("events", "orders", "conversations", "texts", "history", "optional", "wide", "locked", "versions"))
 _stores: dict[tuple[str, str], Store] = {}
 
 
@@ -67,6 +67,15 @@ def lines_of(spark: SparkSession, sf_dir: str, namespace: str) -> DataFrame:
         deleted = F.when(F.col("event_id") % 10 == 9, F.lit(True))
         doc = F.struct(named("event", "event_id").alias("record_id"), iso("ts").alias("timestamp"), named("user", "user_id").alias("entity_id"), F.when(F.col("before").isNotNull(), named("event", "before")).alias("supersedes_id"), "event_type", deleted.alias("_deletion_marker"))
         return e.select(F.col("event_id").alias("index"), F.to_json(doc).alias("line"))
+    if namespace == "wide":  # 1500 keys over all records
+        e = read(spark, sf_dir, "events")
+        line = F.concat(F.lit('{"id":"'), named("event", "event_id"), F.lit('","time":"'), iso("ts"), F.lit('","k'), F.lpad((F.col("event_id") % 1500).cast("string"), 4, "0"), F.lit('":1}'))
+        return e.select(F.col("event_id").alias("index"), line.alias("line"))
+    if namespace == "locked":  # a third is locked until long after the queries' time, a third until before it
+        e = read(spark, sf_dir, "events")
+        lock = F.when(F.col("event_id") % 3 == 0, "2030-01-01T00:00:00Z").when(F.col("event_id") % 3 == 1, "2020-01-01T00:00:00Z")
+        doc = F.struct(named("event", "event_id").alias("record_id"), iso("ts").alias("timestamp"), "event_type", lock.alias("locked_until"))
+        return e.select(F.col("event_id").alias("index"), F.to_json(doc).alias("line"))
     raise KeyError(namespace)
 
 
@@ -83,34 +92,21 @@ def base_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def store_of(spark: SparkSession, sf_dir: str, namespace: str) -> Store:
-    """The store that holds the namespace, ingested at its first use in this session.
+def new_store(spark: SparkSession, name: str, config: Config = CONFIG) -> Store:
+    return Store(spark, f"{base_folder(spark)}/store-{name}-{uuid.uuid4().hex}", config)
 
-    The documents are distinct by construction, so they are loaded as a bulk append without the checks of a call; history
-    gets one commit number per version of an entity, as if each had been sent by itself.
-    """
+
+def store_of(spark: SparkSession, sf_dir: str, namespace: str) -> Store:
+    """The store that holds the namespace, ingested by one call at its first use in this session; history as if each of its
+    versions had been sent by itself."""
     key = (spark.sparkContext.applicationId, sf_dir, namespace)
     if key not in _stores:
-        store = Store(spark, f"{base_folder(spark)}/store-{namespace}-{uuid.uuid4().hex}", CONFIG)
-        rows = f"{store.root}/_staging/parsed"
-        parsed(spark, sf_dir, namespace).write.parquet(rows)
-        df = spark.read.parquet(rows).where("error_id is null")
-        df = df.withColumn("entity_id", F.coalesce("explicit_entity_id", "record_id"))
-        store.append(1, "records", df)
-        store.append(1, "field_index", field_index(df))
-        store.append(1, "field_keys", df.select("namespace", F.explode("paths").alias("key_name")).distinct())
-        store.mark(1)
+        store = new_store(spark, namespace)
+        ingest_lines(store, namespace, lines_of(spark, sf_dir, namespace), at_once=namespace == "history")
         store.drop_staging()
         _stores[key] = store
     return _stores[key]
 
 
 def collection(spark: SparkSession, sf_dir: str, namespace: str, semantics: str = "reference") -> Collection:
-    store = store_of(spark, sf_dir, namespace)
-    c = store.collection(namespace, semantics)
-    if namespace == "history":  # one commit per version: by time within the entity
-        from pyspark.sql import Window
-
-        order = F.row_number().over(Window.partitionBy("entity_id").orderBy("record_timestamp", "record_id")).cast("int")
-        c.records = with_superseded(store.read("records", namespace).withColumn("commit", order), semantics)
-    return c
+    return store_of(spark, sf_dir, namespace).collection(namespace, semantics)

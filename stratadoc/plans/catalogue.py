@@ -45,7 +45,7 @@ def rows(name: str, namespace: str, request: dict, sql: str, semantics: str = "r
     @add(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = collection(spark, sf_dir, namespace, semantics)
-        return planner.records_query(c, compile_query({"limit": 0, **request}, semantics=semantics), semantics, "2024-06-01 00:00:00").select("record_id")
+        return planner.records_query(c, compile_query({"limit": 0, **request}, semantics=semantics), semantics, "2024-06-01 00:00:00", columns=("record_id",))
 
 
 rows("filter_eq_string", "events", {"filter": {"event_type": "click"}}, f"select {E} record_id from events where event_type = 'click'")
@@ -168,12 +168,6 @@ def lookup_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planner.lookup_field(collection(spark, sf_dir, "events"), "seq", "42").select("record_id")
 
 
-@add("check_batches", "select * from (values (0, 'batch-click', true), (1, 'batch-none', false), (2, 'batch-view', true)) t(place, batch_name, processed)")
-def check_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = read(spark, sf_dir, "events").select(F.lit("events").alias("namespace"), F.concat(F.lit("batch-"), "event_type").alias("batch_name"))
-    return planner.check_batches(ledger, "events", ["batch-click", "batch-none", "batch-view"], spark)
-
-
 @add("flatten_index", "select '.event_type' key_name, '\"' || event_type || '\"' as value, count(*) n from events group by event_type union all select '.user_id', cast(user_id as varchar), count(*) from events group by user_id union all select '.props', null, count(*) from events union all select '.props.k', cast(json_extract(props, '$.k') as varchar) v, count(*) from events group by v union all select '.tags', null, count(*) from events union all select '.tags[]', '\"' || tag || '\"' t, count(*) from (select unnest([event_type, 'u' || (user_id % 3)]) tag from events) group by t")
 def flatten_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = parsed(spark, sf_dir, "events").select(F.inline("entries"))
@@ -194,11 +188,6 @@ def flatten_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").isNull().cast("long")).alias("uncaptured"))
 
 
-@add("shape_hash", "select sha256('.even' || chr(10) || '.record_id' || chr(10) || '.seq' || chr(10) || '.timestamp' || chr(10)) shape_hash, count(*) n from events where event_id % 2 = 0 and event_id % 11 <> 0 union all select sha256('.record_id' || chr(10) || '.seq' || chr(10) || '.timestamp' || chr(10)), count(*) from events where event_id % 2 = 1 and event_id % 11 <> 0")
-def shape_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed(spark, sf_dir, "optional").where("get_json_object(record_data, '$.big') is null").groupBy("shape_hash").agg(F.count(F.lit(1)).alias("n"))
-
-
 def optional_forms(each: Callable[[list[str]], str]) -> str:
     """SQL: a CASE over the forms of the records in `optional`; each: the result for a form's keys, in order."""
     forms = [("event_id % 11 = 0", ["big"]), ("event_id % 11 <> 0", [])], [("event_id % 2 = 0", ["even"]), ("event_id % 2 = 1", [])]
@@ -224,17 +213,6 @@ def record_hash_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir, "optional").select("record_id", "record_hash")
 
 
-@add("record_hash", f"select {E} record_id, sha256('{{\"record_id\":\"' || {E} || '\",\"seq\":' || event_id || ',\"timestamp\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z\"}}') record_hash from events where event_id % 2 = 1 and event_id % 11 <> 0")
-def record_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = "seq % 2 = 1 and seq % 11 <> 0"
-    return parsed(spark, sf_dir, "optional").withColumn("seq", F.get_json_object("record_data", "$.seq").cast("long")).where(odd).select("record_id", "record_hash")
-
-
-@add("timestamp_interpret", "select s.unit, event_id, case s.unit when 'number_s' then epoch_us(date_trunc('second', ts)) when 'string_s' then epoch_us(date_trunc('second', ts)) when 'string_ms' then epoch_us(date_trunc('second', ts)) when 'rfc' then epoch_us(ts) end micros from events, (values ('number_s'), ('string_s'), ('string_ms'), ('rfc')) s(unit) where event_id < 1000")
-def timestamp_interpret(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return interpreted(read(spark, sf_dir, "events").where("event_id < 1000"))
-
-
 @add("timestamp_interpret_whole", "select s.unit, event_id, case s.unit when 'rfc' then epoch_us(ts) else epoch_us(date_trunc('second', ts)) end micros from events, (values ('number_s'), ('string_s'), ('string_ms'), ('rfc')) s(unit)")
 def timestamp_interpret_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpreted(read(spark, sf_dir, "events"))
@@ -251,9 +229,9 @@ def interpreted(events: DataFrame) -> DataFrame:
     return out.select(F.get_json_object("record_data", "$.unit").alias("unit"), F.get_json_object("record_data", "$.n").cast("long").alias("event_id"), F.unix_micros("record_timestamp").alias("micros"))
 
 
-def items(spark: SparkSession, sf_dir: str, bound: str = "index < 2000") -> DataFrame:
-    """Item statuses of a call in which every seventh event is stored, every 50th has another body and every 60th line is cut."""
-    every = lines_of(spark, sf_dir, "events").where(bound)
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item statuses of all events, in which every seventh event is stored, every 50th has another body and every 60th line is cut."""
+    every = lines_of(spark, sf_dir, "events")
     lines = every.withColumn("line", F.when(F.col("index") % 60 == 59, F.substring("line", 1, 20)).otherwise(F.col("line")))
     p = parse_lines(lines, "events")
     stored = parse_lines(every.where("index % 7 = 0"), "events")
@@ -263,52 +241,26 @@ def items(spark: SparkSession, sf_dir: str, bound: str = "index < 2000") -> Data
     return done.select("index", "record_id", F.col("error_id").isNull().alias("ok"), "already_present", "inserted", "error_id")
 
 
-ITEMS = f"select event_id as index, case when event_id % 60 = 59 then null else {E} end record_id, case when event_id % 60 = 59 then 'bad_record.invalid_json' when event_id % 350 = 0 then 'bad_record.reusing_id' end error_id, event_id % 7 = 0 and event_id % 50 <> 0 and event_id % 60 <> 59 already_present, event_id % 7 <> 0 and event_id % 60 <> 59 inserted from events where event_id < 2000"
-
-
-@add("ingest_status", f"select *, error_id is null ok from ({ITEMS})")
-def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir)
-
-
-@add("ingest_summary", f"select count(*) num_records, count(*) filter (error_id is null) num_ok, count(*) filter (already_present) num_already_present, count(*) filter (inserted) num_inserted, count(*) filter (error_id is not null) num_error, bool_and(error_id is null) all_ok from ({ITEMS})")
-def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.summary(items(spark, sf_dir))
-
-
-@add("ingest_ranges", f"select min(index) as index, count(*) as count, error_id is null ok, case when error_id is null then min_by(record_id, index) end first_uuid, error_id from (select *, index - row_number() over (partition by error_id order by index) run from ({ITEMS})) group by error_id, run")
-def ingest_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.status_ranges(items(spark, sf_dir))
+ITEMS = f"select event_id as index, case when event_id % 60 = 59 then null else {E} end record_id, case when event_id % 60 = 59 then 'bad_record.invalid_json' when event_id % 350 = 0 then 'bad_record.reusing_id' end error_id, event_id % 7 = 0 and event_id % 50 <> 0 and event_id % 60 <> 59 already_present, event_id % 7 <> 0 and event_id % 60 <> 59 inserted from events"
 
 
 #: All events, as calls of so many lines each: the runs of a call are found in one task, which a limit on its lines allows.
 CALL_LINES = 2000
-WHOLE_ITEMS = ITEMS.removesuffix(" where event_id < 2000")
 
 
-@add("ingest_status_whole", f"select *, error_id is null ok from ({WHOLE_ITEMS})")
+@add("ingest_status_whole", f"select *, error_id is null ok from ({ITEMS})")
 def ingest_status_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir, "true")
+    return items(spark, sf_dir)
 
 
-@add("ingest_summary_whole", f"select count(*) num_records, count(*) filter (error_id is null) num_ok, count(*) filter (already_present) num_already_present, count(*) filter (inserted) num_inserted, count(*) filter (error_id is not null) num_error, bool_and(error_id is null) all_ok from ({WHOLE_ITEMS})")
+@add("ingest_summary_whole", f"select count(*) num_records, count(*) filter (error_id is null) num_ok, count(*) filter (already_present) num_already_present, count(*) filter (inserted) num_inserted, count(*) filter (error_id is not null) num_error, bool_and(error_id is null) all_ok from ({ITEMS})")
 def ingest_summary_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.summary(items(spark, sf_dir, "true"))
+    return ingest.summary(items(spark, sf_dir))
 
 
-@add("ingest_ranges_whole", f"select call, min(index) as index, count(*) as count, error_id is null ok, case when error_id is null then min_by(record_id, index) end first_uuid, error_id from (select *, index // {CALL_LINES} as call, index - row_number() over (partition by index // {CALL_LINES}, error_id order by index) run from ({WHOLE_ITEMS})) group by call, error_id, run")
+@add("ingest_ranges_whole", f"select call, min(index) as index, count(*) as count, error_id is null ok, case when error_id is null then min_by(record_id, index) end first_uuid, error_id from (select *, index // {CALL_LINES} as call, index - row_number() over (partition by index // {CALL_LINES}, error_id order by index) run from ({ITEMS})) group by call, error_id, run")
 def ingest_ranges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.status_ranges(items(spark, sf_dir, "true").withColumn("call", F.expr(f"index div {CALL_LINES}")), "call")
-
-
-@add("entity_inheritance", f"select {E} record_id, {uid('user', 'user_id')} entity_id, rank from (select *, row_number() over (partition by user_id order by ts, event_id) rank from events) where rank = 2")
-def entity_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = parsed(spark, sf_dir, "history").withColumn("bare", F.lit(None).cast("string"))
-    first = versions.where("supersedes_id is null").select("record_id", "record_hash", F.col("explicit_entity_id").alias("entity_id"))
-    second = versions.join(first.select(F.col("record_id").alias("supersedes_id")), "supersedes_id", "left_semi")
-    # as if these had no entity id of their own
-    out = ingest.classify(second.withColumn("explicit_entity_id", F.col("bare")), first)
-    return out.select("record_id", "entity_id", F.lit(2).cast("long").alias("rank"))
+    return ingest.status_ranges(items(spark, sf_dir).withColumn("call", F.expr(f"index div {CALL_LINES}")), "call")
 
 
 @add("entity_inheritance_whole", f"select {E} record_id, {uid('user', 'user_id')} entity_id, row_number() over (partition by user_id order by ts, event_id) rank from events")
@@ -347,18 +299,6 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("records", F.col("keys").cast("int").alias("keys"), "index_rows", "index_rows_per_record")
 
 
-@add("batch_digest", "select event_type, count(*) n, sha256(string_agg('{\"seq\":' || event_id || '}', chr(10) order by event_id)) digest from events where event_id < 5000 group by event_type")
-def batch_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "events").where("event_id < 5000").select("event_type", "event_id", F.concat(F.lit('{"seq":'), F.col("event_id").cast("string"), F.lit("}")).alias("line"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])
-    return lines.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(ordered, "\n"), 256).alias("digest"))
-
-
-@add("manifest_delta", "select 'f' || event_id path, event_id size from events where event_id < 500 and (event_id % 2 = 1 or event_id % 6 = 0)")
-def manifest_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changed_files(read(spark, sf_dir, "events").where("event_id < 500"))
-
-
 @add("manifest_delta_whole", "select 'f' || event_id path, event_id size from events where event_id % 2 = 1 or event_id % 6 = 0")
 def manifest_delta_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed_files(read(spark, sf_dir, "events"))
@@ -399,8 +339,12 @@ def batch_digest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import stratadoc.plans.writes  # noqa: F401  (adds its queries to these)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    import stratadoc.plans.writes  # noqa: F401
+
     return dict(_sql)
