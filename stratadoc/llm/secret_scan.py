@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm.shared import shared_folder, texts_of
+from stratadoc.llm.shared import placed, shared_folder, texts_of
 
 # kind -> (pattern, group whose length counts, least length); the base kinds are fixed values of the contract
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,7 +40,8 @@ TO_END = rf"(?:(?!-----BEGIN )[\s\S])*?-----END {KEY_NAME}"
 NO_END = rf"(?:{EOL}(?:Proc-Type|DEK-Info):[^\r\n\\]*)*(?:(?:{EOL}|[\x20\t>])*{BASE64}{{16,}})*(?:{EOL}{BASE64}{{1,15}}(?={EOL}|\Z))*"
 ADDED_RULES = {
     "private_key": (re.compile(rf"-----BEGIN {KEY_NAME}(?:{TO_END}|{NO_END})"), 0, 0),
-    "web_token": (re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 0),
+    # from the first `eyJ` of a run of its signs, which is passed once: a longer text takes longer in proportion
+    "web_token": (re.compile(r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(?P<span>eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"), 0, 0),
     "service_token": (re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"), 0, 0),
     "url_login": (re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/@]{3,}@"), 0, 0),
 }
@@ -60,7 +61,7 @@ def find_spans(text: str, rules: dict = RULES) -> list[tuple[str, int, int]]:
             continue
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
-                found.append((m.start(), order, kind, m.end()))
+                found.append((m.start("span") if "span" in pattern.groupindex else m.start(), order, kind, m.end()))
     return [(kind, start, end) for start, _, kind, end in sorted(found)]
 
 
@@ -112,16 +113,16 @@ class BlobLedger:
         return bool(system.exists(path)) and any(s.getPath().getName().endswith(".parquet") for s in system.listStatus(path))
 
     def read(self, version: str = RULE_VERSION) -> DataFrame:
+        """One row per blob, also where two runs scanned it at the same time."""
         rows = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.folder) if self.exists() else self.spark.createDataFrame([], LEDGER_SCHEMA)
-        return rows.where(F.col("rule_version") == version)
+        return rows.where(F.col("rule_version") == version).dropDuplicates(["blob"])
 
     def scan(self, texts: DataFrame) -> None:
         """Scans those blobs of texts(text) which the ledger lacks for this rule version, and appends them."""
         blobs = texts.select(F.col("text").cast("string")).mapInArrow(first_in_task, BLOB_SCHEMA)
         blobs = blobs.repartition(F.col("blob"))
-        if self.exists():
+        if self.exists():  # both sides are dealt by blob, so the texts are shuffled once
             blobs = blobs.join(self.read().select("blob"), "blob", "left_anti").select("blob", "text")
-            blobs = blobs.repartition(F.col("blob"))
         blobs.sortWithinPartitions("blob").mapInArrow(scan_sorted, LEDGER_SCHEMA).write.mode("append").parquet(self.folder)
 
     def findings(self, paths: DataFrame) -> DataFrame:
@@ -153,25 +154,26 @@ def span_digests(found: DataFrame) -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame, mark: str = "[secret]", folder: str | None = None) -> DataFrame:
     """docs with every span of its text replaced by the mark, and n_chars, if there, counted anew.
 
-    Only the texts with findings change; all rows and columns stay. The scan is by blob, as above; the
-    marks are set while rows stream by, from the findings joined on the blob.
+    Only the texts with findings change; all rows and columns stay, whatever the columns are called. The scan is by blob, as
+    above; the marks are set while rows stream by, from the findings joined on the blob. A null text stays null.
     """
     ledger = BlobLedger(spark, folder)
-    ledger.scan(docs)
-    names = docs.columns
-    hits = ledger.read().where(F.size("kinds") > 0).select(F.col("blob").alias("_blob"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    joined = docs.withColumn("_blob", blob_id()).join(hits, "_blob", "left")
+    rows, (text, *counted) = placed(docs, "text", *(c for c in docs.columns if c == "n_chars"))
+    ledger.scan(rows.select(F.col(text).alias("text")))
+    hits = ledger.read().where(F.size("kinds") > 0).select("blob", "starts", "ends")
+    joined = rows.withColumn("blob", blob_id(text)).join(hits, "blob", "left")
     # spans may overlap across kinds: they are merged, and the pieces between them are kept
-    spans = F.array_sort(F.arrays_zip("_starts", "_ends"))
+    spans = F.array_sort(F.arrays_zip("starts", "ends"))
     state = F.named_struct(F.lit("out"), F.lit(""), F.lit("at"), F.lit(0))
 
     def step(acc: Column, x: Column) -> Column:
-        fresh = x["_starts"] >= acc["at"]
-        kept = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, x["_starts"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.named_struct(F.lit("out"), kept, F.lit("at"), F.greatest(acc["at"], x["_ends"]))
-
-    done = F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_starts").isNull(), F.col("text")).otherwise(done)
-    out = joined.withColumn("_new", text)
-    columns = [F.col("_new").alias("text") if c == "text" else F.when(F.col("_starts").isNull(), F.col(c)).otherwise(F.length("_new").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in names]
-    return out.select(*columns)
+        fresh = x["starts"] >= acc["at"]
+        kept = F.when(fresh, F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, x["starts"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
+        return F.named_struct(F.lit("out"), kept, F.lit("at"), F.greatest(acc["at"], x["ends"]))
+
+    done = F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
+    found = F.col("starts").isNotNull()
+    out = joined.withColumn("new", F.when(found, done).otherwise(F.col(text)))
+    kind = dict(rows.dtypes)
+    columns = [F.col("new") if c == text else F.when(found, F.length("new").cast(kind[c])).otherwise(F.col(c)) if c in counted else F.col(c) for c in rows.columns]
+    return out.select(*(c.alias(name) for c, name in zip(columns, rows.columns, strict=True))).toDF(*docs.columns)

@@ -61,6 +61,15 @@ def hash_fold(column: str, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def placed(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """(df with its columns named c0, c1, ..., the new names of `names`): no column of the input clashes with one that is
+    added, whatever it is called. `done.toDF(*df.columns)` gives the old names back. A name is matched exactly, or else
+    without regard to case."""
+    lower = [c.lower() for c in df.columns]
+    found = [f"c{df.columns.index(n) if n in df.columns else lower.index(n.lower())}" for n in names]
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), found
+
+
 def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
