@@ -1,24 +1,26 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification.
 
-Texts and items are reduced to words (letters and digits in lower case). A document leaks an item if some stretch of its
-words is within edit distance 0.2 x the item's words (a similarity of 0.8) of the whole item.
+Texts and items are reduced to words (letters and digits in lower case; in scripts without blanks, each sign is a word).
+A document leaks an item if some stretch of its words is within edit distance 0.2 x the item's words (a similarity of 0.8) of the
+whole item. Items under 5 words, for which that means no edit, are found where all their words stand in order.
 
 1. Windows. A stretch within that distance shares a run of q words with the item at nearly the same offset (q = 3, or
-   2 for items under 6 words: n - q + 1 - kq > 0 for k <= 0.2 n). So windows of exactly the item's size are laid
+   2 for items of 5 words: n - q + 1 - kq > 0 for k <= 0.2 n; all of them for shorter items). So windows of exactly the item's size are laid
    wherever the document has one of the item's runs, aligned by the run's offset. No leak lies elsewhere.
 2. CGK. A window of n words walks along; at each step the word under the pointer is written out, and a random
-   bit of (repetition, step, word) says whether the pointer moves. Of the method's 3n steps only the first 2n are
-   walked and sampled, since after those most walks have ended and agree for nothing. Strings at a small edit distance end in walks
-   that agree at most steps, so edit distance becomes Hamming distance.
-3. Bit sampling. `tables` x `repetitions` hash tables each compare `bits` sampled steps; a window that equals its item in any
+   bit of (repetition, step, word) says whether the pointer moves. All of the method's 3n steps are walked. Strings at a
+   small edit distance end in walks that agree at most steps, so edit distance becomes Hamming distance.
+3. Bit sampling. `tables` x `repetitions` hash tables each compare `bits` sampled steps, drawn from those where few walks
+   have ended (the first 2n), as steps after the end agree for nothing; a window that equals its item in any
    table is a candidate.
 4. Verification. Candidates of a document and item are merged into stretches, and the exact least edit distance within them is
    found by bit-parallel dynamic programming.
 
-Items are held in blocks of at most `block_items`; documents are read once per block, and no table is joined.
+Items are held in blocks of about `block_items`; documents are read once per block, and no table is joined. Windows are
+looked at `WINDOWS` at a time, so a word that is frequent in items and documents takes time, but no memory.
 
-Cases: items under 5 words (null, empty or very short) are not searched for. Null texts have no words. Items with equal
-texts are all reported; so are rows with equal doc_ids. An empty table on either side gives no row. Only the columns
+Cases: items without words (null or empty) are not searched for. Null texts have no words. Items of several ids with equal
+texts are all reported, equal rows of items once; rows with equal doc_ids are all reported. An empty table on either side gives no row. Only the columns
 doc_id and text, item_id and text are read. Texts are searched whole.
 """
 
@@ -32,19 +34,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm.shared import slices_by_bytes, texts_of
+from stratadoc.llm.shared import placed, slices_by_bytes, texts_of
 
 WORD = re.compile(r"[^\W_]+")
-LEAST_WORDS = 5
+#: Han, kana, Thai, Lao, Myanmar and Khmer: scripts that put no blanks between words.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+ANY_WORD = re.compile(rf"(?![\W_])[{UNSPACED}]|[^\W_{UNSPACED}]+")
 MOST_EDITS = 0.2
 #: Texts of about so many characters are searched together.
 SLICE_CHARS = 8 << 20
+#: Windows that are walked and compared at a time, in parts of PART.
+WINDOWS, PART = 1 << 19, 4096
 GAP = 0  # the id of words that no item has
 LEAK_SCHEMA = "doc_id long, item_id long, edits int, item_words int, end_word long"
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return (WORD if text.isascii() else ANY_WORD).findall(text.lower())
 
 
 def edits_allowed(n: int) -> int:
@@ -52,7 +58,7 @@ def edits_allowed(n: int) -> int:
 
 
 def run_length(n: int) -> int:
-    return 3 if n >= 6 else 2
+    return 3 if n >= 6 else 2 if n == 5 else n
 
 
 def least_edits(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -92,11 +98,11 @@ class Walks:
         """(windows, repetitions x tables) hash values of the sampled steps of each walk."""
         m, n = windows.shape
         rng = np.random.default_rng([self.seed, n])
-        length = 2 * n
+        length, sampled = 3 * n, 2 * n
         odd = rng.integers(0, 1 << 64, (self.repetitions, length), np.uint64) | np.uint64(1)
         shift = rng.integers(0, 1 << 64, (self.repetitions, length), np.uint64)
-        steps = np.stack([[rng.choice(length, self.bits, replace=False) for _ in range(self.tables)] for _ in range(self.repetitions)])
-        factors = rng.integers(0, 1 << 63, (self.repetitions, self.tables, self.bits), np.uint64) | np.uint64(1)
+        steps = np.stack([[rng.choice(sampled, min(self.bits, sampled), replace=False) for _ in range(self.tables)] for _ in range(self.repetitions)])
+        factors = rng.integers(0, 1 << 63, (self.repetitions, self.tables, steps.shape[-1]), np.uint64) | np.uint64(1)
         out = np.zeros((m, self.repetitions * self.tables), np.uint64)
         ended = np.uint64((1 << 40) - 1)
         symbols = np.concatenate([windows.astype(np.uint64), np.full((m, 1), ended)], axis=1).ravel()
@@ -111,7 +117,7 @@ class Walks:
                 np.minimum(at, n, out=at)
             for t in range(self.tables):
                 value = np.zeros(m, np.uint64)
-                for b in range(self.bits):
+                for b in range(steps.shape[-1]):
                     value = (value ^ (walk[steps[r, t, b]] + np.uint64(1))) * factors[r, t, b]
                 out[:, r * self.tables + t] = value
         return out
@@ -126,13 +132,13 @@ class LeakFinder:
         self.ids, self.items = [], []
         for item_id, text in items:
             w = words_of(text or "")
-            if len(w) >= LEAST_WORDS:
+            if w:
                 self.ids.append(item_id)
                 self.items.append(np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64))
         self.vocabulary, self.base = vocabulary, len(vocabulary) + 1
         self.size = np.array([len(w) for w in self.items], np.int64)
         self.edits = np.array([edits_allowed(len(w)) for w in self.items], np.int64)
-        self.postings = {q: self._postings(q) for q in (2, 3)}
+        self.postings = {q: self._postings(q) for q in (1, 2, 3, 4)}
         self.hashes: dict[int, dict[int, np.ndarray]] = {}
         for n in set(self.size.tolist()):
             members = np.flatnonzero(self.size == n)
@@ -166,40 +172,50 @@ class LeakFinder:
             known &= w[k : k + n] != GAP
         return np.where(known, code, -1)
 
-    def windows(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item, start) of the windows to look at; a start may lie before or after its document."""
-        items, starts = [], []
+    def window_parts(self, w: np.ndarray, most: int = WINDOWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item, start) of the windows to look at, about `most` at a time, each distinct there; a start may lie before or
+        after its document."""
+        longest = int(self.size.max(initial=0))
+        span = len(w) + 2 * longest + 2
         for q, (distinct, first, post_items, post_offsets) in self.postings.items():
             runs = self._runs(w, q)
             if not len(distinct) or not len(runs):
                 continue
             place = np.minimum(np.searchsorted(distinct, runs), len(distinct) - 1)
             at = np.flatnonzero(distinct[place] == runs)
-            counts = (first[1:] - first[:-1])[place[at]]
-            entries = np.repeat(first[place[at]] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            items.append(post_items[entries])
-            starts.append(np.repeat(at, counts) - post_offsets[entries])
-        if not items:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        items, starts = np.concatenate(items), np.concatenate(starts)
-        span = len(w) + 2 * int(self.size.max()) + 2
-        codes = np.unique(items * span + starts + int(self.size.max()))
-        return codes // span, codes % span - int(self.size.max())
+            begin, counts = first[place[at]], (first[1:] - first[:-1])[place[at]]
+            ends = np.cumsum(counts)
+            total = int(ends[-1]) if len(ends) else 0
+            for low in range(0, total, most):
+                number = np.arange(low, min(low + most, total))
+                run = np.searchsorted(ends, number, side="right")
+                entries = begin[run] + number - (ends[run] - counts[run])
+                codes = np.unique(post_items[entries] * span + at[run] - post_offsets[entries] + longest)
+                yield codes // span, codes % span - longest
+
+    def windows(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All of them, each once."""
+        parts = [np.empty((0, 2), np.int64), *(np.stack(p, 1) for p in self.window_parts(w))]
+        items, starts = np.unique(np.concatenate(parts), axis=0).T
+        return items, starts
 
     def candidates(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those windows whose walk meets the item's in some hash table."""
-        items, starts = self.windows(w)
-        keep = np.zeros(len(items), bool)
-        for n in np.unique(self.size[items]):
-            of_size = np.flatnonzero(self.size[items] == n)
-            for at in range(0, len(of_size), 4096):
-                part = of_size[at : at + 4096]
-                places = starts[part, None] + np.arange(n)
-                inside = (places >= 0) & (places < len(w))
-                made = self.walks.hashes(np.where(inside, w[np.clip(places, 0, len(w) - 1)], GAP))
-                want = np.stack([self.hashes[int(n)][i] for i in items[part].tolist()])
-                keep[part] = (made == want).any(axis=1)
-        return items[keep], starts[keep]
+        kept = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for items, starts in self.window_parts(w):
+            keep = np.zeros(len(items), bool)
+            for n in np.unique(self.size[items]):
+                of_size = np.flatnonzero(self.size[items] == n)
+                for at in range(0, len(of_size), PART):
+                    part = of_size[at : at + PART]
+                    places = starts[part, None] + np.arange(n)
+                    inside = (places >= 0) & (places < len(w))
+                    made = self.walks.hashes(np.where(inside, w[np.clip(places, 0, len(w) - 1)], GAP))
+                    want = np.stack([self.hashes[int(n)][i] for i in items[part].tolist()])
+                    keep[part] = (made == want).any(axis=1)
+            kept.append((items[keep], starts[keep]))
+        items, starts = (np.concatenate(c) for c in zip(*kept, strict=True))
+        return items, starts
 
     def find(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text's place, item_id, least edits, item's words, the word where the stretch ends) of every leak."""
@@ -247,12 +263,13 @@ class LeakFinder:
 
 
 def item_blocks(items: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_items rows: what is held at once is bounded, whatever their number."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    """The distinct items in blocks of about block_items rows, dealt by a hash of the whole row: what is held at once is bounded,
+    whatever their number and however often a text repeats."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     n = max(1, -(-rows.count() // block_items))
     for k in range(n):
-        block = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else rows
-        yield [(r.item_id, r.text) for r in block.collect()]
+        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else rows
+        yield sorted(((r.item_id, r.text) for r in block.collect()), key=lambda r: (r[0] is not None, r[0], r[1]))
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, block_items: int = 4096) -> DataFrame:
@@ -281,8 +298,9 @@ def leaks_of(block: list[tuple[int, str]]):
 
 
 def drop_leaked(docs: DataFrame, items: DataFrame, block_items: int = 4096) -> DataFrame:
-    """docs, all columns, without the rows whose text leaks an item."""
-    place = docs.columns.index("text")
+    """docs, all columns, without the rows whose text leaks an item. A null text leaks nothing; equal rows fare alike."""
+    rows, (text,) = placed(docs, "text")
+    place = rows.columns.index(text)
 
     def without(block: list[tuple[int, str]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,5 +314,5 @@ def drop_leaked(docs: DataFrame, items: DataFrame, block_items: int = 4096) -> D
         return run
 
     for block in item_blocks(items, block_items):
-        docs = docs.mapInArrow(without(block), docs.schema)
-    return docs
+        rows = rows.mapInArrow(without(block), rows.schema)
+    return rows.toDF(*docs.columns)
