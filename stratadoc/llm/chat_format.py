@@ -25,13 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratadoc.llm.shared import slices_by_bytes
+
 OPEN, CLOSE = b"<|im_start|>", b"<|im_end|>\n"
 ESCAPE = re.compile(rb"<(\x1a*)\|")
 UNESCAPE = re.compile(rb"<\x1a(\x1a*)\|")
 PART_SCHEMA = "conv_id long, part long, n_turns long, formatted binary, loss_starts array<int>, loss_ends array<int>"
+#: Bytes of turns that are assembled together, at least one turn; texts above LONG_BYTES are copied without an index.
+SLICE_BYTES, LONG_BYTES = 1 << 20, 4096
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -64,14 +69,18 @@ def escaped(column: pa.Array, escape_one, hint: bytes) -> pa.Array:
     values = column.cast(pa.binary()).fill_null(b"")
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
-    data = values.buffers()[2]
-    if data is None or hint not in memoryview(data).tobytes():
+    if not pc.any(pc.match_substring(values, hint)).as_py():
         return values
     return pa.array([escape_one(v) for v in values.to_pylist()], pa.binary())
 
 
 def scatter(out: np.ndarray, places: np.ndarray, source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
-    """out[places[i] : places[i] + lengths[i]] = source[starts[i] : ...], for all i at once."""
+    """out[places[i] : places[i] + lengths[i]] = source[starts[i] : ...], for all short ones at once: an index is eight times
+    the size of its byte, so long ones are copied one by one."""
+    for i in np.flatnonzero(lengths > LONG_BYTES).tolist():
+        out[places[i] : places[i] + lengths[i]] = source[starts[i] : starts[i] + lengths[i]]
+    short = lengths <= LONG_BYTES
+    places, starts, lengths = places[short], starts[short], lengths[short]
     total = int(lengths.sum())
     if not total:
         return
@@ -105,10 +114,9 @@ def format_conversations(df: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, part = object(), 0
         for whole in batches:
-            for at in range(0, len(whole), 2048):
-                batch = whole.slice(at, 2048)
-                if not len(batch):
-                    continue
+            sizes = sum(pc.fill_null(pc.binary_length(whole.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+            for start, end in slices_by_bytes((sizes + len(OPEN) + len(CLOSE)).tolist(), SLICE_BYTES):
+                batch = whole.slice(start, end - start)
                 ids = batch.column(0).to_pylist()
                 roles = escaped(batch.column(1), escape_role, b"")
                 texts = escaped(batch.column(2), escape, b"<")
