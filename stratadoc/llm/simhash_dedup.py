@@ -6,8 +6,9 @@ a component's id is the smallest doc_id in it.
 
 The search is dealt over tasks by 16-bit blocks: of four blocks, at least one is equal in a linked pair. A block
 value that holds more than `hot_bucket` fingerprints is refined: the other 48 bits form four sub-blocks, of which
-again at least one is equal, so no link is lost and no bucket grows with a hot value. (There are at most 4 x 65536
-block values, which bounds the list of hot ones.) Within a bucket, fingerprints are sorted by their Gray rank, so
+again at least one is equal, so no link is lost; and so on with the bits that are left, until 15 are, of which there are
+32768 values. So no bucket grows with a hot value. (From the second step on, a bucket is hot beyond 1/65536 of the rows, too,
+which bounds the list of hot ones.) Within a bucket, fingerprints are sorted by their Gray rank, so
 neighbours share most bits. Runs of them are leaves; a leaf's node keeps the bits that all its members share as a mask and a
 pattern, and upper nodes factor out what their children share. A pair of nodes is dropped with everything below
 it when the differences accumulated in bits that both have fixed exceed 3.
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stratadoc.llm.shared import shared_folder
 
@@ -75,6 +77,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, fp long")
 
 
+def with_fingerprints(rows: DataFrame, text: str) -> DataFrame:
+    """rows, all columns, and fp of the text column."""
+    place, names = rows.columns.index(text), [*rows.columns, "fp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((majority_bits(shingle_hashes(t or "")) for t in batch.column(place).to_pylist()), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=names)
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
+
+
 # --- the index within a bucket -------------------------------------------------------------------------
 
 
@@ -227,22 +241,36 @@ def link_buckets(batches: Iterator[pa.RecordBatch], most: int = 3) -> Iterator[p
 # --- buckets ------------------------------------------------------------------------------------------
 
 
-def block_keys(fps: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, fingerprint): four 16-bit blocks each, or four 12-bit sub-blocks within a hot block value."""
+#: Bits of the four blocks at each step of refinement; 15 bits are left after the last.
+STEPS = ((16, 16, 16, 16), (12, 12, 12, 12), (9, 9, 9, 9), (7, 7, 7, 6), (5, 5, 5, 5))
+MOST_HOT = 1 << 16
+
+
+def block_keys(fps: np.ndarray, hot: list[np.ndarray], only_last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, fingerprint): a row for each block of each step, down to where its value is not hot.
+
+    hot: for each step, the sorted hot buckets. A bucket's number holds the places and values of its equal blocks, and has
+    another length at each step. only_last: just the rows of the step after the last of hot.
+    """
     keys, out = [], []
-    for i in range(4):
-        value = (fps >> np.uint64(16 * i)) & np.uint64(0xFFFF)
-        first = (value | np.uint64(i << 16)).astype(np.int64)
-        is_hot = np.isin(first, hot)
-        keys.append(first[~is_hot])
-        out.append(fps[~is_hot])
-        if is_hot.any():
-            low = fps[is_hot] & np.uint64((1 << 16 * i) - 1)
-            rest = low | ((fps[is_hot] >> np.uint64(16 * i + 16)) << np.uint64(16 * i)) if i < 3 else low
-            for j in range(4):
-                sub = ((rest >> np.uint64(12 * j)) & np.uint64(0xFFF)).astype(np.int64)
-                keys.append(1 << 40 | first[is_hot] << 14 | j << 12 | sub)
-                out.append(fps[is_hot])
+
+    def deal(own: np.ndarray, rest: np.ndarray, prefix: np.ndarray, step: int) -> None:
+        widths, at = STEPS[step], 0
+        for j, width in enumerate(widths):
+            value = (rest >> np.uint64(at)) & np.uint64((1 << width) - 1)
+            key = (prefix << (2 + widths[0])) | (j << widths[0]) | value.astype(np.int64)
+            is_hot = np.isin(key, hot[step]) if step < len(hot) and len(hot[step]) else np.zeros(len(key), bool)
+            if step == len(hot) or not only_last:
+                keys.append(key[~is_hot])
+                out.append(own[~is_hot])
+            if is_hot.any():
+                # the other bits move together
+                left = rest[is_hot]
+                left = (left & np.uint64((1 << at) - 1)) | ((left >> np.uint64(at + width)) << np.uint64(at) if at + width < 64 else np.uint64(0))
+                deal(own[is_hot], left, key[is_hot], step + 1)
+            at += width
+
+    deal(fps, fps, np.ones(len(fps), np.int64), 0)
     return np.concatenate(keys), np.concatenate(out)
 
 
@@ -250,17 +278,32 @@ def link_fingerprints(nodes: DataFrame, hot_bucket: int = HOT_BUCKET, most: int
     """Links (a, b) that connect every two fingerprints of nodes(fp), distinct, with at most `most` differing bits."""
     if most > 3:
         raise ValueError("four blocks find pairs of up to three differing bits")
-    blocks = F.array(*(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(i << 16)) for i in range(4)))
-    counted = nodes.select(F.explode(blocks).alias("bucket")).groupBy("bucket").count().where(F.col("count") > hot_bucket)
-    hot = np.sort(np.array([r.bucket for r in counted.select("bucket").collect()], np.int64))  # at most 4 x 65536
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, fps = block_keys(batch.column(0).to_numpy().view(np.uint64), hot)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps.view(np.int64))], names=["bucket", "fp"])
-
-    dealt = nodes.select("fp").mapInArrow(deal, "bucket long, fp long")
-    return dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(partial(link_buckets, most=most), "a long, b long")
+    def dealt(hot: list[np.ndarray], only_last: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys, fps = block_keys(batch.column(0).to_numpy().view(np.uint64), hot, only_last)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps.view(np.int64))], names=["bucket", "fp"])
+
+        return nodes.select("fp").mapInArrow(run, "bucket long, fp long")
+
+    blocks = F.array(*(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)).bitwiseOR(F.lit(1 << 18 | i << 16)) for i in range(4)))
+    counted = nodes.select(F.explode(blocks).alias("bucket")).groupBy("bucket").count()
+    hot: list[np.ndarray] = []
+    while True:
+        found = counted.where(F.col("count") > hot_bucket)
+        if hot:
+            # of so many rows, no more than MOST_HOT buckets can hold the share that makes one hot; at the first step there are 4 x 65536 values
+            rows = counted.agg(F.sum("count")).first()[0] or 0
+            found = found.where(F.col("count") > rows // MOST_HOT)
+        values = np.sort(np.array([r.bucket for r in found.select("bucket").collect()], np.int64))
+        if not len(values):
+            break
+        hot.append(values)
+        if len(hot) == len(STEPS) - 1:
+            break
+        counted = dealt(hot, True).groupBy("bucket").count()
+    return dealt(hot, False).repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(partial(link_buckets, most=most), "a long, b long")
 
 
 # --- components ----------------------------------------------------------------------------------------
@@ -293,18 +336,22 @@ def connected_components(spark: SparkSession, links: DataFrame) -> DataFrame:
 
 
 def components_of(spark: SparkSession, prints: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of prints(doc_id, fp)."""
+    """(fp, root, component_id) for the distinct fingerprints of prints(doc_id, fp); root: the component's smallest fingerprint."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(spark, link_fingerprints(nodes, hot_bucket))
     nodes = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return nodes.join(ids, "root").select("fp", "component_id")
+    return nodes.join(ids, "root").select("fp", "root", "component_id")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id for every row of docs(doc_id, text)."""
+def groups_of(spark: SparkSession, docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """(fp, doc_id, root, component_id) for every row of docs(doc_id, text)."""
     folder = shared_folder(spark, "fingerprints")
     fingerprints(docs).write.parquet(folder)
     prints = spark.read.parquet(folder)
-    named = prints.join(components_of(spark, prints, hot_bucket), "fp", "left")
-    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(components_of(spark, prints, hot_bucket), "fp", "left")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id for every row of docs(doc_id, text)."""
+    return groups_of(spark, docs, hot_bucket).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
