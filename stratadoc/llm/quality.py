@@ -4,13 +4,14 @@ Random indexing: every sign (a word, a word's shape, a repetition mark) has a sp
 hash of the sign. A word's vector is the sum of the index vectors of its neighbours, up to two places away, over the training texts,
 scaled to unit length. A document's features are two pools over its whole text: the mean of its words'
 vectors, and the mean of the index vectors of its signs of form (shapes such as `Aa,` or `a*`; marks for words that
-repeat an earlier one nearby; marks for the share of distinct words in each stretch of 64).
+repeat an earlier one nearby; marks for the share of distinct words in each stretch of 64 and in the rest after them).
 
 The network (tanh, then logistic) is trained in numpy on four fifths of the training rows; the others set the
 temperature by which its logits are divided, so that scores are calibrated probabilities.
 
 The fit takes at most `fit_rows` labelled rows of the training folds, those with the smallest hash of
-doc_id, whole texts each. It runs in one task; all other work is map-only over all rows.
+doc_id, whole texts each, and word vectors for at most `MOST_WORDS` words of them, the commonest. It runs in one task; all other
+work is map-only over all rows.
 
 Cases: an empty or null text has zero pools and gets the score that these lead to. Labels that are null or whose document
 is missing are not learnt from; of repeated labels all count. With no label of one class the score is the
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratadoc.llm.shared import hash_fold, texts_of
+from stratadoc.llm.shared import hash_fold, placed, texts_of
 
 WORD_DIMS, FORM_DIMS, NONZERO, HIDDEN = 48, 96, 4, 24
 FIT_ROWS = 6000
 MOST_WORDS = 20_000
-MEMO = 200_000
+MEMO, MEMO_CHARS = 200_000, 64
 THRESHOLD = 0.3
 STRETCH = 64
 RUN = re.compile(r"(.)\1+", re.DOTALL)
@@ -53,9 +54,10 @@ def index_vector(sign: str, dims: int) -> np.ndarray:
 
 
 def shape(word: str) -> str:
-    """Letters as A or a, digits as 0, other signs as they are, runs of one kind as one; long words end in a plus."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40])
-    return RUN.sub(r"\1", kinds)[:8] + ("+" if len(word) > 16 else "")
+    """Of the whole word: letters as A or a, digits as 0, other signs as they are, runs of one kind as one; long words end in a
+    plus."""
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    return RUN.sub(r"\1", kinds) + ("+" if len(word) > 16 else "")
 
 
 class Features:
@@ -81,7 +83,9 @@ class Features:
     def of_word(self, word: str) -> int:
         if len(self.shapes) > MEMO:
             self.shapes.clear()
-        row = self.shapes[word] = self.form("shape:" + shape(word))
+        row = self.form("shape:" + shape(word))
+        if len(word) <= MEMO_CHARS:
+            self.shapes[word] = row
         return row
 
     def pool(self, text: str) -> np.ndarray:
@@ -103,9 +107,12 @@ class Features:
         hashes = np.fromiter(map(hash, tokens), np.int64, n)
         for k, row in enumerate(self.repeats, 1):
             counts[row] += np.count_nonzero(hashes[k:] == hashes[:-k])
-        blocks = np.sort(hashes[: n // STRETCH * STRETCH].reshape(-1, STRETCH), axis=1) if n >= STRETCH else np.sort(hashes[None, :], axis=1)
-        share = ((np.diff(blocks, axis=1) != 0).sum(1) + 1) * 10 // blocks.shape[1]
-        counts[self.distinct] += np.bincount(share, minlength=11) * (n / len(blocks))
+        whole = n // STRETCH * STRETCH
+        for blocks in (hashes[:whole].reshape(-1, STRETCH), hashes[None, whole:]):
+            if blocks.size:
+                blocks = np.sort(blocks, axis=1)
+                share = ((np.diff(blocks, axis=1) != 0).sum(1) + 1) * 10 // blocks.shape[1]
+                counts[self.distinct] += np.bincount(share, minlength=11) * blocks.shape[1]
         used = np.flatnonzero(counts)
         out[WORD_DIMS:] = counts[used] @ self.forms[used]
         return out / n
@@ -241,8 +248,12 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_r
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """docs, all columns, without the rows that score under the threshold."""
-    model, place = fit_model(docs, labels, fit_rows), docs.columns.index("text")
+    """docs, all columns, without the rows that score under the threshold.
+
+    Null and empty texts are scored as empty, equal rows alike; a row without doc_id is scored, but not learnt from.
+    """
+    rows, (doc_id, text) = placed(docs, "doc_id", "text")
+    model, place = fit_model(rows.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), labels, fit_rows), rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(model)
@@ -250,4 +261,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> D
         for batch in batches:
             yield batch.filter(pa.array(own.scores(texts_of(batch.column(place)), features) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
