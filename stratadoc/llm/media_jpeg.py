@@ -290,8 +290,8 @@ def decode_scalar(frame: Frame, data: bytes) -> np.ndarray:
     luma = frame.components[0]
     out = np.zeros((down * luma[2], across * luma[1]), np.int64)
     clean, starts, _ = entropy_segments(np.frombuffer(data, np.uint8))
-    bits, n_bits = int.from_bytes(clean.tobytes(), "big") << 64 | (1 << 64) - 1, len(clean) * 8 + 64
-    peek = lambda p: bits >> (n_bits - p - 16) & 0xFFFF
+    bits = clean.tobytes() + b"\xff" * 8
+    peek = lambda p: int.from_bytes(bits[p >> 3 : (p >> 3) + 3], "big") >> (8 - (p & 7)) & 0xFFFF
     place, value, lane = 0, defaultdict(int), 0
     for mcu in range(across * down):
         if frame.interval and mcu % frame.interval == 0:
