@@ -48,6 +48,8 @@ BUFFER_TOKENS = 4_000_000
 SCORED_TOKENS = 1 << 15
 #: Parts of the work that stay within a core's cache: logits, and weights in an update.
 BLOCK_FLOATS, ADAM_FLOATS = 1 << 18, 1 << 14
+#: Input symbols met so often in a window are rare.
+RARE = 8
 SLICE_BYTES, COUNT_ROWS = 4 << 20, 1 << 20
 WARM_ROWS, WARM_ROUNDS = 1500, 2
 WARM_RATE, RATE = 0.02, 0.012
@@ -135,36 +137,42 @@ class Network:
         return np.where(symbols < self.n_words, symbols // self.class_words, self.word_classes + symbols - self.n_words)
 
     def steps(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """States after each step of symbols x (steps, lanes) from state h, and what the way back needs."""
+        """States after each step of symbols x (steps, lanes) from state h, and what the way back needs. Each gate has arrays of
+        its own, so that all that is done step by step runs over consecutive values."""
         v, n = self.views, HIDDEN
-        gates = v["x"][x]
-        kind = np.result_type(gates, h)
-        states = np.empty((*x.shape, n), kind)
-        # states before, both gates, the recurrent part of the new value, and the new value, of each step
-        before, both, inner, news = np.empty_like(states), np.empty((*x.shape, 2 * n), kind), np.empty_like(states), np.empty_like(states)
-        g = np.empty((x.shape[1], 3 * n), kind)
+        shape = (*x.shape, n)
+        kind = np.result_type(v["x"], h)
+        r, z, new = (np.ascontiguousarray(g, kind) for g in np.moveaxis(v["x"][x.ravel()].reshape(*x.shape, 3, n), 2, 0))
+        to_r, to_z, to_new = (np.ascontiguousarray(u) for u in np.split(v["u"], 3, axis=1))
+        by_r, by_z, by_new = np.split(v["b"], 3)
+        r += by_r
+        z += by_z
+        states, before, inner = np.empty(shape, kind), np.empty(shape, kind), np.empty(shape, kind)
+        work = np.empty(shape[1:], kind)
         for t in range(len(x)):
             if keep[t].all():
                 before[t] = h
             else:
                 np.multiply(h, keep[t][:, None], out=before[t])
-            h, rz, new = before[t], both[t], news[t]
-            np.matmul(h, v["u"], out=g)
-            g += v["b"]
-            np.add(gates[t, :, : 2 * n], g[:, : 2 * n], out=rz)
-            rz *= 0.5
-            np.tanh(rz, out=rz)
-            rz += 1
-            rz *= 0.5
-            inner[t] = g[:, 2 * n :]
-            np.multiply(rz[:, :n], g[:, 2 * n :], out=new)
-            new += gates[t, :, 2 * n :]
-            np.tanh(new, out=new)
-            np.subtract(h, new, out=states[t])
-            states[t] *= rz[:, n:]
-            states[t] += new
+            h = before[t]
+            for gate, weights in ((r[t], to_r), (z[t], to_z)):
+                np.matmul(h, weights, out=work)
+                gate += work
+                gate *= 0.5
+                np.tanh(gate, out=gate)
+                gate += 1
+                gate *= 0.5
+            np.matmul(h, to_new, out=inner[t])
+            inner[t] += by_new
+            np.multiply(r[t], inner[t], out=work)
+            value = new[t]
+            value += work
+            np.tanh(value, out=value)
+            np.subtract(h, value, out=states[t])
+            states[t] *= z[t]
+            states[t] += value
             h = states[t]
-        return states, (before, both, inner, news)
+        return states, (before, r, z, inner, new)
 
     def choose(self, name: str, states: np.ndarray, node: np.ndarray, place: np.ndarray, grads: Network | None, share: float) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each place of its node, by a softmax over the node's places; states end in ones.
@@ -261,35 +269,59 @@ class Network:
         """Adds the gradients of one window; nothing flows to the window before. Returns the input symbols met and their
         gradients, which are added only if `scattered`."""
         v, n = self.views, HIDDEN
-        before, both, recurrent, new = trace
-        r, z = both[..., :n], both[..., n:]
-        by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), recurrent * r * (1 - r)
-        gates, inner = np.empty((*x.shape, 3 * n), back.dtype), np.empty((*x.shape, 3 * n), back.dtype)
-        carried, turned = np.zeros_like(back[0]), np.ascontiguousarray(v["u"].T)
+        before, r, z, recurrent, new = trace
+        rest = 1 - z
+        by_z = before - new
+        by_z *= z
+        by_z *= rest
+        rest *= 1 - new * new  # by the new value
+        by_r = 1 - r
+        by_r *= r
+        by_r *= recurrent
+        # gradients of the gates' sums, and of the recurrent part of the new value
+        to_r, to_z, to_new, to_inner = (np.empty_like(z) for _ in range(4))
+        back_r, back_z, back_new = (np.ascontiguousarray(u.T) for u in np.split(v["u"], 3, axis=1))
+        carried, d, work = np.zeros_like(back[0]), np.empty_like(back[0]), np.empty_like(back[0])
         for t in range(len(x) - 1, -1, -1):
-            d, own = back[t] + carried, gates[t]
-            np.multiply(d, by_new[t], out=own[:, 2 * n :])
-            np.multiply(d, by_z[t], out=own[:, n : 2 * n])
-            np.multiply(own[:, 2 * n :], by_r[t], out=own[:, :n])
-            inner[t, :, : 2 * n] = own[:, : 2 * n]
-            np.multiply(own[:, 2 * n :], r[t], out=inner[t, :, 2 * n :])
-            np.matmul(inner[t], turned, out=carried)
-            d *= z[t]
-            carried += d
+            np.add(back[t], carried, out=d)
+            np.multiply(d, rest[t], out=to_new[t])
+            np.multiply(d, by_z[t], out=to_z[t])
+            np.multiply(to_new[t], by_r[t], out=to_r[t])
+            np.multiply(to_new[t], r[t], out=to_inner[t])
+            np.multiply(d, z[t], out=carried)
+            for part, weights in ((to_r[t], back_r), (to_z[t], back_z), (to_inner[t], back_new)):
+                np.matmul(part, weights, out=work)
+                carried += work
             if not keep[t].all():
                 carried *= keep[t][:, None]
-        inner = inner.reshape(-1, 3 * n)
-        grads.views["u"] += before.reshape(-1, n).T @ inner
-        grads.views["b"] += np.ones(len(inner), inner.dtype) @ inner
-        symbols = x.ravel()
-        order = np.argsort(symbols.astype(np.int16 if self.start < 1 << 15 else np.int32), kind="stable")
-        cuts = np.flatnonzero(np.diff(symbols[order], prepend=-1))
-        rows, of_rows = symbols[order][cuts], np.add.reduceat(gates.reshape(-1, 3 * n)[order], cuts, axis=0)
+        ones, flat = np.ones(x.size, back.dtype), before.reshape(-1, n).T
+        for k, part in enumerate((to_r, to_z, to_inner)):
+            part = part.reshape(-1, n)
+            grads.views["u"][:, k * n : (k + 1) * n] += flat @ part
+            grads.views["b"][k * n : (k + 1) * n] += ones @ part
+        rows, of_rows = summed_by(x.ravel(), np.concatenate([g.reshape(-1, n) for g in (to_r, to_z, to_new)], axis=1))
         if scattered:
             grads.views["x"][rows] += of_rows
         return rows, of_rows
 
 
+def summed_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of their rows of values). Most keys are rare: their rows are added place by place, for all keys at
+    once, and only those of frequent keys key by key."""
+    order = np.argsort(keys.astype(np.uint16 if keys.max(initial=0) < 1 << 16 else np.int32), kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    counts = np.diff(cuts, append=len(order))
+    sums = values[order[cuts]]
+    for place in range(1, RARE):
+        more = np.flatnonzero((counts > place) & (counts <= RARE))
+        if not len(more):
+            break
+        sums[more] += values[order[cuts[more] + place]]
+    for k in np.flatnonzero(counts > RARE).tolist():
+        sums[k] = values[order[cuts[k] : cuts[k] + counts[k]]].sum(0)
+    return keys[order[cuts]], sums
+
+
 class Adam:
     """Input rows are updated, and their moments decay, only in windows that hold them; all else in every window."""
 
