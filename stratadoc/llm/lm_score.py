@@ -586,7 +586,8 @@ def joined_weights(rows: list) -> np.ndarray:
 def train(spark: SparkSession, training: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """The model's weights after the warm start and one pass of all tasks over all training(doc_id, text)."""
     ids = training.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_ROWS).distinct()
-    warm = training.join(F.broadcast(ids), "doc_id").select("doc_id", "text").repartition(1).sortWithinPartitions("doc_id", "text")
+    # of rows with one doc_id only the smallest text, so that the task's rows are bounded
+    warm = training.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).repartition(1).sortWithinPartitions("doc_id")
     rows = warm.mapInArrow(train_tasks(vocabulary, None, WARM_ROUNDS, WARM_RATE), WEIGHT_SCHEMA).collect()
     flat = joined_weights(rows) if rows else Network(vocabulary.n_words).start_from(vocabulary).flat
     copies = averaged(training.select("doc_id", "text").mapInArrow(train_tasks(vocabulary, flat, 1, RATE), WEIGHT_SCHEMA))

@@ -14,7 +14,7 @@ doc_id, whole texts each, and word vectors for at most `MOST_WORDS` words of the
 work is map-only over all rows.
 
 Cases: an empty or null text has zero pools and gets the score that these lead to. Labels that are null or whose document
-is missing are not learnt from; of repeated labels all count. With no label of one class the score is the
+is missing are not learnt from; of repeated labels all count, of rows with one doc_id the one with the smallest text. With no label of one class the score is the
 smoothed share of label 1. A null doc_id hashes as the empty text. Further columns are not read.
 """
 
@@ -213,7 +213,10 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, held
         chosen = chosen.where(hash_fold("doc_id") != held_out_fold)
     # a bounded number of (id, label) pairs: small enough to be sent to every task
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(chosen), "doc_id")
+    ids = F.broadcast(chosen.select("doc_id").distinct())
+    # one row per doc_id, so that a repeated id brings no more rows than there are labels
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(ids, "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2).to_pylist(), strict=True)]
