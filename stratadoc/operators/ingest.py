@@ -80,39 +80,56 @@ def classify(parsed: DataFrame, stored: DataFrame, semantics: str = "reference")
     ).withColumn("inserted", fine & known.isNull())
 
 
-def check_call(df: DataFrame, store: Store, namespace: str, stored: DataFrame, semantics: str, apart: bool = False) -> None:
-    """Conditions that refuse the whole call; with `apart` also that a record supersedes another of the call."""
-    fine = df.where(F.col("explicit_or_parsed_ok"))
-    if apart:
-        within = fine.where("supersedes_id is not null").select(F.col("supersedes_id").alias("record_id")).join(fine.where("inserted").select("record_id"), "record_id", "left_semi")
-        if found := some(within.limit(1)):
-            raise EngineError("internal_error.superseded_within_group", "a record supersedes one of the same group", **found)
-    twice = some(fine.where("supersedes_id is not null").groupBy("supersedes_id").count().where("count > 1").limit(1))
-    if twice:
-        raise EngineError("bad_request.duplicate_supersedes", "two records of the call supersede the same one", supersedes_id=twice["supersedes_id"])
-    superseding = fine.where("supersedes_id is not null")
-    taken = store.read("superseded", namespace).select(F.col("record_id").alias("supersedes_id"), F.col("by_record_id").alias("_by"))
-    conflict = superseding.join(taken, "supersedes_id")
-    if semantics == "intended":  # the same record again is a harmless duplicate
-        conflict = conflict.where(F.col("_by") != F.col("record_id"))
-    if found := some(conflict.select("supersedes_id").limit(1)):
-        raise EngineError("bad_request.already_superseded", "the record is superseded already", **found)
-    mismatch = superseding.where("explicit_entity_id is not null and _inherited is not null and explicit_entity_id != _inherited")
-    if found := some(mismatch.select("supersedes_id", "explicit_entity_id").limit(1)):
-        raise EngineError("bad_record.superseded_entity_id_mismatch", "the superseded record has another entity id", **found)
-    if found := some(superseding.where("explicit_entity_id is null and _inherited is null").select("supersedes_id").limit(1)):
-        raise EngineError("internal_error.superseded_record_not_found", "the superseded record is not stored", **found)
+def check_call(outcome: DataFrame, store: Store, namespace: str, stored: DataFrame, semantics: str, apart: bool = False) -> dict:
+    """Raises the conditions that refuse the whole call, with `apart` also that a record supersedes another of the call; returns
+    the call's figures: inserted, superseding, versions.
+
+    One aggregate over the call finds what needs looking at; joins with the store are made only for that.
+    """
+    fine = outcome.where(F.col("inserted") | F.col("already_present") | (F.col("error_id") == "bad_record.reusing_id"))
+    example = lambda condition, column: F.min(F.when(condition, F.col(column)))
+    linked, bare = F.col("supersedes_id").isNotNull(), F.col("explicit_entity_id").isNull()
+    found = fine.agg(
+        F.count_if("inserted").alias("inserted"),
+        F.count("supersedes_id").alias("linked"),
+        F.count_if(F.col("inserted") & linked).alias("superseding"),
+        F.count_if(F.col("inserted") & (F.col("entity_id") != F.col("record_id"))).alias("versions"),
+        example(linked & ~bare & (F.col("explicit_entity_id") != F.col("_inherited")), "supersedes_id").alias("mismatch"),
+        example(linked & bare & F.col("_inherited").isNull(), "supersedes_id").alias("missing"),
+        example((F.col("repeat") > 1) & F.col("_hash").isNull(), "record_id").alias("repeated"),
+    ).first()
+    superseding = fine.where(linked)
+    if found.linked:
+        if apart:
+            within = superseding.select(F.col("supersedes_id").alias("record_id")).join(fine.where("inserted").select("record_id"), "record_id", "left_semi")
+            if row := some(within.limit(1)):
+                raise EngineError("internal_error.superseded_within_group", "a record supersedes one of the same group", **row)
+        twice = some(superseding.groupBy("supersedes_id").count().where("count > 1").limit(1))
+        if twice:
+            raise EngineError("bad_request.duplicate_supersedes", "two records of the call supersede the same one", supersedes_id=twice["supersedes_id"])
+        taken = store.read("superseded", namespace).select(F.col("record_id").alias("supersedes_id"), F.col("by_record_id").alias("_by"))
+        conflict = superseding.join(taken, "supersedes_id")
+        if semantics == "intended":  # the same record again is a harmless duplicate
+            conflict = conflict.where(F.col("_by") != F.col("record_id"))
+        if row := some(conflict.select("supersedes_id").limit(1)):
+            raise EngineError("bad_request.already_superseded", "the record is superseded already", **row)
+        if found.mismatch:
+            raise EngineError("bad_record.superseded_entity_id_mismatch", "the superseded record has another entity id", supersedes_id=found.mismatch)
+        if found.missing:
+            raise EngineError("internal_error.superseded_record_not_found", "the superseded record is not stored", supersedes_id=found.missing)
     if semantics == "reference":
-        if found := some(fine.where("repeat > 1 and _hash is null").select("record_id").limit(1)):
-            raise EngineError("internal_error.duplicate_id", "an id occurs twice in the call", **found)
-        elsewhere = store.read("records").where(F.col("namespace") != namespace).select("record_id")
-        if found := some(fine.where("inserted").join(elsewhere, "record_id", "left_semi").select("record_id").limit(1)):
-            raise EngineError("internal_error.duplicate_id", "the id is used in another namespace", **found)
-    else:
+        if found.repeated:
+            raise EngineError("internal_error.duplicate_id", "an id occurs twice in the call", record_id=found.repeated)
+        if found.inserted and len(store.config.namespaces) > 1:
+            elsewhere = store.read("records").where(F.col("namespace") != namespace).select("record_id")
+            if row := some(fine.where("inserted").join(elsewhere, "record_id", "left_semi").select("record_id").limit(1)):
+                raise EngineError("internal_error.duplicate_id", "the id is used in another namespace", **row)
+    elif found.inserted:
         active = stored.where("not is_superseded and not is_deletion_marker").select("entity_id", F.col("record_id").alias("_active"))
         second = fine.where("inserted and supersedes_id is null").join(active, "entity_id")
-        if found := some(second.select("entity_id").limit(1)):
-            raise EngineError("bad_record.entity_has_active_record", "the entity has an active record", **found)
+        if row := some(second.select("entity_id").limit(1)):
+            raise EngineError("bad_record.entity_has_active_record", "the entity has an active record", **row)
+    return found.asDict()
 
 
 def ingest_lines(store: Store, namespace: str, lines: DataFrame, batch_name: str | None = None, batch_time: datetime | None = None, also: dict[str, DataFrame] | None = None, at_once: bool = False, apart: bool = False) -> IngestResult:
@@ -125,27 +142,26 @@ def ingest_lines(store: Store, namespace: str, lines: DataFrame, batch_name: str
     parse_lines(lines, namespace, store.config.limits, semantics).write.parquet(f"{staged}-parsed")
     parsed = spark.read.parquet(f"{staged}-parsed")
     stored = store.collection(namespace).records
-    df = classify(parsed.drop("paths", "entries", "record_data"), stored, semantics).withColumn("explicit_or_parsed_ok", F.col("inserted") | F.col("already_present") | (F.col("error_id") == "bad_record.reusing_id"))
+    classify(parsed.drop("paths", "entries", "record_data"), stored, semantics).write.parquet(f"{staged}-outcome")
+    outcome = spark.read.parquet(f"{staged}-outcome")
     try:
-        check_call(df, store, namespace, stored, semantics, apart)
+        found = check_call(outcome, store, namespace, stored, semantics, apart)
     except EngineError:
-        store.filesystem().delete(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}-parsed"), True)
+        for name in ("parsed", "outcome"):
+            store.filesystem().delete(spark._jvm.org.apache.hadoop.fs.Path(f"{staged}-{name}"), True)
         raise
-    df.write.parquet(f"{staged}-outcome")
-    outcome = spark.read.parquet(f"{staged}-outcome")
-    fresh = outcome.where("inserted").select("index", F.col("entity_id"))
-    rows = parsed.join(fresh, "index")
-    found = outcome.where("inserted").agg(F.count(F.lit(1)).alias("n"), F.count("supersedes_id").alias("superseding"), F.count_if(F.col("entity_id") != F.col("record_id")).alias("versions")).first()
-    if found.n:
-        store.append(commit, "records", rows)
+    n = found["inserted"]
+    rows = parsed.join(outcome.where("inserted").select("index", "entity_id"), "index")
+    if n:
+        store.append(commit, "records", rows, n)
         index = field_index(rows)
-        store.append(commit, "field_index", index)
+        store.append(commit, "field_index", index, n)
         store.append(commit, "key_counts", index.groupBy("namespace", "key_name").agg(F.count(F.lit(1)).alias("n")))
-    if found.superseding:
+    if found["superseding"]:
         marks = outcome.where("inserted and supersedes_id is not null")
         store.append(commit, "superseded", marks.select(F.col("supersedes_id").alias("record_id"), F.col("record_id").alias("by_record_id"), F.lit(at_once).alias("at_once"), "namespace"))
-    if found.versions:
-        store.append(commit, "entities", outcome.where("inserted and entity_id != record_id"))
+    if found["versions"]:
+        store.append(commit, "entities", outcome.where("inserted and entity_id != record_id"), n)
     # the dictionary also learns the keys of records that are refused or known
     source = parsed.where("error_id is null") if semantics == "reference" else rows
     keys = source.select("namespace", F.explode("paths").alias("key_name")).distinct()

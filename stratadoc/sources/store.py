@@ -34,6 +34,8 @@ SCHEMAS = {
     "synced_batches": "digest string, target string, commit int, namespace string",
 }
 VERSION = 2
+#: A commit of so many records at most writes a file per table.
+FEW_RECORDS = 1000
 #: How the files of a table are clustered, so that a lookup reads few row groups.
 CLUSTERED = {"records": ("record_id",), "entities": ("entity_id",), "field_index": ("key_name", "value")}
 
@@ -128,11 +130,11 @@ class Store:
         self.drop_staging()
         return n
 
-    def append(self, commit: int, table: str, rows: DataFrame) -> None:
-        """Adds rows (with namespace) to a commit that is not marked yet."""
+    def append(self, commit: int, table: str, rows: DataFrame, n_records: int | None = None) -> None:
+        """Adds rows (with namespace) to a commit that is not marked yet; n_records: of how many records they are, if known."""
         columns = [c.split()[0] for c in SCHEMAS[table].split(", ") if c.split()[0] != "commit"]
         rows = rows.select(*columns)
-        rows = clustered(table, rows)
+        rows = clustered(table, rows, few=n_records is not None and n_records <= FEW_RECORDS)
         rows.write.mode("append").partitionBy("namespace").parquet(f"{self.root}/{table}/commit={commit}")
 
     def mark(self, commit: int) -> None:
@@ -157,11 +159,13 @@ class Store:
         return {t: (system.getContentSummary(self.path(t)).getLength() if system.exists(self.path(t)) else 0) for t in SCHEMAS}
 
 
-def clustered(table: str, rows: DataFrame) -> DataFrame:
-    """The rows in ranges of what their table is looked up by: row groups are skipped by their ranges."""
+def clustered(table: str, rows: DataFrame, few: bool = False) -> DataFrame:
+    """The rows in ranges of what their table is looked up by: row groups are skipped by their ranges. Few rows make one file."""
     if table not in CLUSTERED:
         return rows
     keys = ("namespace", *CLUSTERED[table])
+    if few:
+        return rows.coalesce(1).sortWithinPartitions(*keys)
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
