@@ -113,9 +113,10 @@ class BlobLedger:
         return bool(system.exists(path)) and any(s.getPath().getName().endswith(".parquet") for s in system.listStatus(path))
 
     def read(self, version: str = RULE_VERSION) -> DataFrame:
-        """One row per blob, also where two runs scanned it at the same time."""
+        """One row per blob, also where two runs scanned it at the same time. Keyed by both columns, so that a join by blob
+        deals the rows anew and can split a hot one."""
         rows = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.folder) if self.exists() else self.spark.createDataFrame([], LEDGER_SCHEMA)
-        return rows.where(F.col("rule_version") == version).dropDuplicates(["blob"])
+        return rows.where(F.col("rule_version") == version).dropDuplicates(["blob", "rule_version"])
 
     def scan(self, texts: DataFrame) -> None:
         """Scans those blobs of texts(text) which the ledger lacks for this rule version, and appends them."""
