@@ -56,7 +56,8 @@ WARM_RATE, RATE = 0.02, 0.012
 GROUP, PART_FLOATS = 64, 1 << 16
 WEIGHT_SCHEMA = "task long, part int, n long, weights binary"
 COUNT_SCHEMA = "token binary, form int, n long"
-PART_SCHEMA = "row long, doc_id long, token binary, n long, n_tokens long, n_known long, head_sum double, rest double"
+PART_SCHEMA = "row long, doc_id long, token binary, at array<int>, n array<int>, n_tokens long, n_known long, head_sum double, rest double"
+PART_KINDS = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
 
 def tokens_of(text: str) -> list[bytes]:
@@ -174,11 +175,11 @@ class Network:
             h = states[t]
         return states, (before, r, z, inner, new)
 
-    def choose(self, name: str, states: np.ndarray, node: np.ndarray, place: np.ndarray, grads: Network | None, share: float) -> tuple[np.ndarray, np.ndarray | None]:
+    def choose(self, name: str, states: np.ndarray, node: np.ndarray, place: np.ndarray, grads: Network | None, share: float, scored: bool = True) -> tuple[np.ndarray | None, np.ndarray | None]:
         """Natural log probability of each place of its node, by a softmax over the node's places; states end in ones.
 
         With grads, `share` times the gradients of the negated sum take the place of what the nodes met had there, and those of
-        the states are returned.
+        the states are returned; with scored=False the probabilities are left out.
         Rows are sorted by node, so that a node's rows are one product; a block of rows stays within the cache.
         """
         weights, m = self.views[name], len(node)
@@ -208,7 +209,7 @@ class Network:
 
             logits()
             rows, places = np.arange(end - start), place[start:end]
-            picked = e[rows, places]
+            picked = e[rows, places] if scored else None
             with np.errstate(over="ignore"):
                 np.exp(e, out=e)
                 total = e @ ones
@@ -216,10 +217,11 @@ class Network:
                 logits()
                 most = e.max(1)
                 e -= most[:, None]
-                picked -= most
+                picked = picked - most if scored else None
                 np.exp(e, out=e)
                 total = e @ ones
-            found[start:end] = picked - np.log(total)
+            if scored:
+                found[start:end] = picked - np.log(total)
             if grads is None:
                 continue
             # each row of e by share / total is what it adds to the gradients
@@ -238,27 +240,29 @@ class Network:
                 np.matmul(e[i - start : j - start], weights[k].T, out=sorted_back[i:j])
             if width >= inner:
                 sorted_back[start:end] *= factor
-        score[order] = found
         if grads is not None:
             back[order] = sorted_back
-        return score, back
+        if scored:
+            score[order] = found
+        return score if scored else None, back
 
     @staticmethod
     def block(width: int) -> int:
         return max(1, BLOCK_FLOATS // width)
 
-    def outputs(self, states: np.ndarray, y: np.ndarray, grads: Network | None = None, least: int = 1) -> tuple[np.ndarray, np.ndarray | None]:
+    def outputs(self, states: np.ndarray, y: np.ndarray, grads: Network | None = None, least: int = 1, scored: bool = True) -> tuple[np.ndarray | None, np.ndarray | None]:
         """Natural log probability of each symbol given its state; and, with grads, the states' gradients of the mean loss,
-        where fewer than `least` symbols count as so many."""
+        where fewer than `least` symbols count as so many. scored=False leaves out the former."""
         states = np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
         share, classes = states.dtype.type(1 / max(least, len(y), 1)), self.class_of(y)
         group = classes // self.group_classes
-        score, back = self.choose("g", states, np.zeros_like(group), group, grads, share)
-        more, inner = self.choose("c", states, group, classes - group * self.group_classes, grads, share)
-        score += more
+        score, back = self.choose("g", states, np.zeros_like(group), group, grads, share, scored)
+        more, inner = self.choose("c", states, group, classes - group * self.group_classes, grads, share, scored)
         worded = np.flatnonzero(y < self.n_words)
-        more, word_back = self.choose("w", states[worded], classes[worded], y[worded] - classes[worded] * self.class_words, grads, share)
-        score[worded] += more
+        word_score, word_back = self.choose("w", states[worded], classes[worded], y[worded] - classes[worded] * self.class_words, grads, share, scored)
+        if scored:
+            score += more
+            score[worded] += word_score
         if grads is None:
             return score, None
         back += inner
@@ -404,7 +408,7 @@ class Lanes:
             states, trace = network.steps(x, keep, h[:live])
             h[:live] = states[-1]
             where = np.nonzero(inside)
-            _, back = network.outputs(states[where], self.y[at[where]], grads, least)
+            _, back = network.outputs(states[where], self.y[at[where]], grads, least, scored=False)
             whole = np.zeros_like(states)
             whole[where] = back
             adam.update(grads, *network.back(x, keep, trace, whole, grads, scattered=False))
@@ -602,21 +606,54 @@ def train(spark: SparkSession, training: DataFrame, vocabulary: Vocabulary) -> n
     return joined_weights(rows) if sum(r.n for r in rows) else flat
 
 
+class Tails:
+    """The words outside the head of the documents that are held: (words, document, code, times) of some texts at a time."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, tokens: Tokens, places: np.ndarray, first: int) -> None:
+        tail = np.flatnonzero(places[tokens.codes] < 0)
+        of = np.searchsorted(tokens.cuts, tail, side="right") - 1
+        pairs, times = np.unique(of * np.int64(len(places)) + tokens.codes[tail], return_counts=True)
+        used, code = np.unique(pairs % len(places), return_inverse=True)
+        self.parts.append((tokens.words.take(pa.array(used)), (first + pairs // len(places)).astype(np.int32), code, times.astype(np.int32)))
+
+    def rows(self, row: int) -> Iterator[pa.RecordBatch]:
+        """One row per word, with the documents that hold it, counted from `row`, and how often each does."""
+        coded = pa.concat_arrays([p[0] for p in self.parts]).dictionary_encode()
+        begin = np.cumsum([0, *(len(p[0]) for p in self.parts)])
+        codes = coded.indices.to_numpy()
+        code = np.concatenate([codes[b + p[2]] for b, p in zip(begin, self.parts, strict=False)])
+        order = np.argsort(code, kind="stable")
+        at, times = (np.concatenate([p[k] for p in self.parts])[order] for k in (1, 3))
+        ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
+        for start in range(0, len(ends), 20_000):
+            stop = min(start + 20_000, len(ends))
+            low = int(ends[start - 1]) if start else 0
+            offsets = pa.array(np.concatenate([[0], ends[start:stop] - low]), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(v[low : ends[stop - 1]], pa.int32())) for v in (at, times)]
+            yield parts_batch(np.full(stop - start, row), None, coded.dictionary.take(pa.array(np.arange(start, stop))), *lists, None, None, None, None)
+        self.parts.clear()
+
+
 def score_parts(vocabulary: Vocabulary, flat: np.ndarray):
-    """Rows of PART_SCHEMA: one per document (token null) and one per document and distinct tail word."""
+    """Rows of PART_SCHEMA: one per document (token null), and one per distinct word outside the head of documents that are
+    scored together, with the places and numbers of it in these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         network, row, words = Network(vocabulary.n_words, flat.copy()), TaskContext.get().partitionId() << 33, vocabulary.n_words
         docs: list[np.ndarray] = []
-        columns: list[list] = [[] for _ in range(6)]
-        n_held = 0
+        columns: list[list] = [[] for _ in range(5)]
+        tails, n_held = Tails(), 0
 
-        def scored() -> pa.RecordBatch:
+        def scored() -> Iterator[pa.RecordBatch]:
+            yield from tails.rows(row)
             logs = Lanes(docs, network.start).score(network, len(docs)) / np.log(10)
-            ids, rows, n, known, head_sum, rest = columns
-            return parts_batch(rows, ids, None, None, n, known, head_sum, np.array(rest) + logs)
+            ids, n, known, head_sum, rest = columns
+            yield parts_batch(np.arange(row, row + len(docs)), ids, None, None, None, n, known, head_sum, np.array(rest) + logs)
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -627,31 +664,25 @@ def score_parts(vocabulary: Vocabulary, flat: np.ndarray):
                 # words in the classes of form take their smoothed counts within the class
                 formed = symbols >= words
                 rest = np.where(formed, logs - vocabulary.form_log[np.where(formed, symbols - words, 0)], 0.0)
-                held = zip(ids[first : first + n], range(row, row + n), np.diff(tokens.cuts).tolist(), np.add.reduceat((places >= 0)[codes].astype(np.int64), starts).tolist(), np.add.reduceat(logs[codes], starts).tolist(), np.add.reduceat(rest[codes], starts).tolist(), strict=True)
-                for column, values in zip(columns, zip(*held, strict=True), strict=True):
+                sums = (np.add.reduceat(values[codes], starts).tolist() for values in ((places >= 0).astype(np.int64), logs, rest))
+                for column, values in zip(columns, (ids[first : first + n], np.diff(tokens.cuts).tolist(), *sums), strict=True):
                     column.extend(values)
+                tails.add(tokens, places, len(docs))
                 docs += np.split(symbols[codes], tokens.cuts[1:-1])
                 n_held += len(codes)
-                tail = np.flatnonzero(places[codes] < 0)
-                of = np.searchsorted(tokens.cuts, tail, side="right") - 1
-                pairs, times = np.unique(of * np.int64(len(places)) + codes[tail], return_counts=True)
-                for at in range(0, len(pairs), 50_000):
-                    part = pairs[at : at + 50_000]
-                    yield parts_batch(row + part // len(places), None, tokens.words.take(pa.array(part % len(places))), times[at : at + 50_000], None, None, None, None)
-                row += n
                 if n_held >= BUFFER_TOKENS:
-                    yield scored()
-                    docs, columns, n_held = [], [[] for _ in range(6)], 0
+                    yield from scored()
+                    row += len(docs)
+                    docs, columns, n_held = [], [[] for _ in range(5)], 0
         if docs:
-            yield scored()
+            yield from scored()
 
     return run
 
 
 def parts_batch(*columns) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
     n = len(columns[0])
-    made = [pa.nulls(n, k) if c is None else c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    made = [pa.nulls(n, k) if c is None else c.cast(k) if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, PART_KINDS, strict=True)]
     return pa.RecordBatch.from_arrays(made, names=[c.split()[0] for c in PART_SCHEMA.split(", ")])
 
 
@@ -674,8 +705,13 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out_fold: int = 1
     parts = parts.withColumn("token", F.coalesce("token", F.concat(F.lit(END + END), F.col("row").cast("string").cast("binary"))))
     tail = counts.where(F.col("c") < least).select("token", "c").hint("shuffle_hash")
     c = F.coalesce("c", F.lit(0))
-    sums = (F.sum(F.col("n") * F.log10(c + 0.5)).alias("tail_sum"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("tail_known"))
-    whole = parts.join(tail, "token", "left").groupBy("row").agg(*(F.max(k).alias(k) for k in ("doc_id", "n_tokens", "n_known", "head_sum", "rest")), *sums)
+    # a document's row stays one; a word's row becomes one for each document that holds it
+    each = F.explode_outer(F.arrays_zip("at", "n")).alias("in_doc")
+    own = ("doc_id", "n_tokens", "n_known", "head_sum", "rest")
+    joined = parts.join(tail, "token", "left").select("row", *own, F.log10(c + 0.5).alias("log"), (c > 0).alias("is_known"), each)
+    joined = joined.select((F.col("row") + F.coalesce("in_doc.at", F.lit(0))).alias("row"), *own, "log", "is_known", F.col("in_doc.n").alias("n"))
+    sums = (F.sum(F.col("n") * F.col("log")).alias("tail_sum"), F.sum(F.when(F.col("is_known"), F.col("n")).otherwise(0)).alias("tail_known"))
+    whole = joined.groupBy("row").agg(*(F.max(k).alias(k) for k in own), *sums)
     tail_sum = F.coalesce("tail_sum", F.lit(0.0))
     base = F.col("head_sum") + tail_sum - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
     return whole.select(
