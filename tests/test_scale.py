@@ -18,3 +18,26 @@ def test_calls_are_parsed_once_and_not_broadcast_by_guess(spark, name):
     """What is joined comes from files, whose sizes are known, not from parsed lines, whose size is underestimated."""
     text = plan(catalogue.queries()[name](spark, SF))
     assert "MapInArrow" not in text and "Scan parquet" in re.sub("FileScan", "Scan", text)
+
+
+def test_a_call_shuffles_no_documents_and_no_index(spark, tmp_path):
+    """Records and index rows are written from where they were parsed; a base deals the rows of one value by their ids."""
+    import json
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from stratadoc.operators.flatten import field_index
+    from stratadoc.sources.jsonl import lines_frame
+    from stratadoc.operators.metadata import parse_lines
+    from stratadoc.sources.store import clustered, sorted_rows
+
+    lines = lines_frame(spark, [json.dumps({"id": str(uuid.uuid4()), "time": 1_700_000_000, "same": "x"}) for _ in range(400)])
+    index = field_index(parse_lines(lines, "main")).withColumn("namespace", F.lit("main"))
+    assert "Exchange range" not in plan(sorted_rows("field_index", index))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same = clustered("field_index", index).where("key_name = '.same'")
+        assert same.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
