@@ -44,6 +44,10 @@ class Engine:
         c = self.store.collection(namespace)
         return planner.records_query(c, self._compiled(request), self.config.semantics, now)
 
+    def lists(self, namespace: str, requests: list[dict | str]) -> DataFrame:
+        """(query, record_id) of several requests, in their order."""
+        return planner.lists_query(self.store.collection(namespace), [self._compiled(r) for r in requests], self.config.semantics)
+
     def fields(self, namespace: str, request: dict | str) -> DataFrame:
         return planner.fields_query(self.store.collection(namespace), self._compiled(request), self.config.semantics, self.config.limits.query_rows)
 

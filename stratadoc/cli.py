@@ -9,6 +9,8 @@ import sys
 from collections.abc import Iterator
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+
 from stratadoc import __version__
 from stratadoc.api import Engine
 from stratadoc.config import Access, Client, Config
@@ -24,6 +26,14 @@ def count_lines(rows: list[dict], indent: str = "") -> Iterator[str]:
         yield from count_lines(r.get("values") or [], indent + "  ")
 
 
+def list_lines(engine: Engine, args: argparse.Namespace) -> DataFrame:
+    """The lines of a list, of each of its queries in turn."""
+    queries = [ingest.friendly_query(parse_json(q)) for q in args.queries]
+    if len(queries) > 1:
+        return engine.lists(args.namespace, queries).selectExpr("record_id line")
+    return engine.records(args.namespace, queries[0] if queries else {}).selectExpr("record_id line")
+
+
 def run(engine: Engine, args: argparse.Namespace) -> Iterator[str]:
     ns, pretty = args.namespace, lambda x: json.dumps(x, indent=2, sort_keys=True, default=str)
     query = lambda: ingest.friendly_query(parse_json(args.query)) if args.query else {}
@@ -33,8 +43,8 @@ def run(engine: Engine, args: argparse.Namespace) -> Iterator[str]:
         else:
             yield pretty(engine.by_field(ns, args.field, args.id) if args.field else engine.record(ns, args.id))
     elif args.command == "list":
-        for r in engine.records(ns, query()).select("record_id").toLocalIterator():
-            yield r.record_id
+        for r in list_lines(engine, args).toLocalIterator():
+            yield r.line
     elif args.command == "query":
         for r in envelope(engine.records(ns, query()), ns).selectExpr("to_json(struct(*)) j").toLocalIterator():
             yield pretty(json.loads(r.j))
@@ -82,7 +92,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--namespace", default="main")
     p.add_argument("--semantics", default="reference", choices=("reference", "intended"))
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("list", "query", "fields"):
+    sub.add_parser("list").add_argument("queries", nargs="*")
+    for name in ("query", "fields"):
         sub.add_parser(name).add_argument("query", nargs="?")
     values = sub.add_parser("values")
     values.add_argument("names", nargs="+")

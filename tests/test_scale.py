@@ -20,6 +20,28 @@ def test_calls_are_parsed_once_and_not_broadcast_by_guess(spark, name):
     assert "MapInArrow" not in text and "Scan parquet" in re.sub("FileScan", "Scan", text)
 
 
+def test_a_list_of_many_queries_is_one_plan(spark, tmp_path):
+    """The lists of all users at once agree with one list each, in both semantics, and take no job for each query."""
+    import json
+    import uuid
+
+    from stratadoc.api import Engine
+    from stratadoc.cli import list_lines, parser, run
+    from stratadoc.config import Config
+
+    for semantics in ("reference", "intended"):
+        e = Engine(spark, f"file://{tmp_path}/{semantics}", Config(semantics=semantics))
+        docs = [{"id": str(uuid.uuid4()), "time": 1_700_000_000 + i % 3, "kind": "ab"[i % 2], "user": [i % 3, i % 3 if i % 4 else 5]} for i in range(24)]
+        e.write_jsonl("main", "\n".join(map(json.dumps, docs)))
+        queries = [json.dumps({"filter": {"kind": "a", "user": [u]}, "limit": 0}) for u in (2, 5, 0, 9)]
+        command = lambda *words: parser().parse_args(["--root", "x", *words])
+        want = [x for q in queries for x in run(e, command("list", q))]
+        assert want and list(run(e, command("list", *queries))) == want
+        assert plan(list_lines(e, command("list", *queries))).count("field_index") == plan(list_lines(e, command("list", *queries[:2]))).count("field_index")
+        mixed = [queries[0], '{"filter":{"kind":"b"},"limit":3}']
+        assert list(run(e, command("list", *mixed))) == [x for q in mixed for x in run(e, command("list", q))]
+
+
 def test_a_call_shuffles_no_documents_and_no_index(spark, tmp_path):
     """Records and index rows are written from where they were parsed; a base deals the rows of one value by their ids."""
     import json
