@@ -5,7 +5,8 @@ stand for, and synced_files by (path, mtime, size, target), once all batches of
 the digests of its full leading batches, so only its tail is read as new; records of it that are known are found by the
 record-level check.
 
-Batches are sent in the order of path and number. Consecutive ones are tried as one commit of up to `sync_group_bytes`; if the
+Batches are sent in the order of path and number. Consecutive ones are tried as one commit, at first of up to `sync_group_bytes`
+and of twice as much after each that went in, so that a large folder takes few commits, each of which looks at the store; if a
 call is refused, or if a record of it supersedes another, its halves are sent instead, down to single batches. So each batch
 has the outcome that it would have had by itself, and one that is refused holds up neither the others nor later passes,
 which try it again.
@@ -14,7 +15,7 @@ which try it again.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -59,11 +60,11 @@ class SyncResult:
         return {**{n: sum(p[n] for p in parts) for n in names}, "all_ok": all(p["all_ok"] for p in parts) and not self.errors}
 
 
-def groups_of(headers: Iterable, most_bytes: int) -> Iterator[list]:
-    """Consecutive headers of up to most_bytes together, at least one."""
+def groups_of(headers: Iterable, most_bytes: Callable[[], int]) -> Iterator[list]:
+    """Consecutive headers of up to most_bytes together, as asked anew for each, at least one."""
     held, size = [], 0
     for h in headers:
-        if held and size + h.size > most_bytes:
+        if held and size + h.size > most_bytes():
             yield held
             held, size = [], 0
         held.append(h)
@@ -86,27 +87,32 @@ def sync_directory(store: Store, namespace: str, folder: str, target: str | None
     batches = spark.read.parquet(f"{staged}-batches")
     where = (F.lit(target).alias("target"), F.lit(namespace).alias("namespace"))
     commits, errors = [], []
+    room = store.config.limits.sync_group_bytes
 
     def send(group: list, last: bool) -> None:
+        nonlocal room
         places = spark.createDataFrame([(h.path, h.batch, k) for k, h in enumerate(group)], "path string, batch int, place int")
         # the range of paths lets the scan skip row groups
-        part = batches.where(F.col("path").between(group[0].path, group[-1].path)).join(places, ["path", "batch"])
+        part = batches.where(F.col("path").between(group[0].path, group[-1].path)).join(F.broadcast(places), ["path", "batch"])
         also = {"synced_batches": part.select("digest", *where)}
         if last and not errors:
             also["synced_files"] = files.select("path", "mtime", "size", *where)
         try:
             commits.append(ingest_lines(store, namespace, batch_lines(part), also=also, apart=len(group) > 1))
+            room *= 2
         except EngineError as e:
+            room = store.config.limits.sync_group_bytes
             if len(group) == 1:
                 errors.append({"path": group[0].path, "batch": group[0].batch, "error_id": e.error_id})
                 return
             half = len(group) // 2
             send(group[:half], False)
             send(group[half:], last)
+            room = store.config.limits.sync_group_bytes
 
     headers = batches.select("path", "batch", F.octet_length("payload").alias("size")).orderBy("path", "batch").toLocalIterator()
     held: list | None = None
-    for group in groups_of(headers, store.config.limits.sync_group_bytes):
+    for group in groups_of(headers, lambda: room):
         if held is not None:
             send(held, False)
         held = group

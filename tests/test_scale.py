@@ -42,6 +42,24 @@ def test_a_list_of_many_queries_is_one_plan(spark, tmp_path):
         assert list(run(e, command("list", *mixed))) == [x for q in mixed for x in run(e, command("list", q))]
 
 
+def test_a_sync_takes_few_commits(spark, tmp_path):
+    import json
+    import uuid
+
+    from stratadoc.config import Config, Limits
+    from stratadoc.sources.store import Store
+    from stratadoc.streaming.sync import sync_directory
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    ids = [str(uuid.uuid4()) for _ in range(24)]
+    (folder / "a.jsonl").write_text("".join(json.dumps({"id": i, "time": 1_700_000_000}) + "\n" for i in ids))
+    store = Store(spark, f"file://{tmp_path}/store", Config(limits=Limits(sync_batch_bytes=100, sync_group_bytes=200)))
+    assert sync_directory(store, "main", f"file://{folder}").summary()["num_inserted"] == 24
+    assert store.read("synced_batches", "main").count() == 24 and len(store.commits()) < 8
+    assert sorted(r.record_id for r in store.collection("main").records.collect()) == sorted(ids)
+
+
 def test_a_call_shuffles_no_documents_and_no_index(spark, tmp_path):
     """Records and index rows are written from where they were parsed; a base deals the rows of one value by their ids."""
     import json
