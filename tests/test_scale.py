@@ -81,3 +81,56 @@ def test_a_call_shuffles_no_documents_and_no_index(spark, tmp_path):
         assert same.select(F.spark_partition_id().alias("p")).distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def calls_of(spark, root, semantics):
+    """Two calls of 60 lines; the second repeats ids of the first with and without a change, cuts lines, supersedes a record
+    and, in intended semantics, repeats an id within itself. What is found of them afterwards."""
+    import json
+    import uuid
+
+    from stratadoc.config import Config
+    from stratadoc.operators.ingest import ingest_lines
+    from stratadoc.sources.store import Store
+
+    store = Store(spark, f"file://{root}", Config(semantics=semantics))
+    name = lambda *of: str(uuid.uuid5(uuid.NAMESPACE_OID, repr(of)))
+    doc = lambda i, **more: json.dumps({"id": name(i), "time": 1_700_000_000, "n": i, **more})
+    lines = lambda texts: spark.createDataFrame([(i - 20 if i < 30 else i * 40_000, x) for i, x in enumerate(texts)], "index long, line string")
+    first = ingest_lines(store, "main", lines([doc(i) for i in range(60)]))
+    second = [doc(i, **({"changed": 1} if i % 4 == 0 else {})) for i in range(30)] + [doc(i) for i in range(100, 125)]
+    second += [json.dumps({"id": name("new"), "time": 1_700_000_000, "supersedes_id": name(50)}), doc(7)[:9]]
+    if semantics == "intended":
+        second += [doc(110), doc(110, other=1)]
+    result = ingest_lines(store, "main", lines(second))
+    c = store.collection("main")
+    rows = [first.status, result.status, c.records.drop("commit"), c.index.drop("commit"), c.key_counts.drop("commit").groupBy("key_name").sum("n"), c.entities.drop("commit")]
+    return [sorted(map(repr, r.collect())) for r in rows]
+
+
+@pytest.mark.parametrize("semantics", ["reference", "intended"])
+def test_large_calls_give_what_small_ones_give(spark, tmp_path, monkeypatch, semantics):
+    from stratadoc.operators import ingest
+
+    want = calls_of(spark, tmp_path / "small", semantics)
+    monkeypatch.setattr(ingest, "SMALL_CALL", 0)
+    monkeypatch.setattr(ingest, "FEW_ODD", 0)
+    assert calls_of(spark, tmp_path / "bitmaps", semantics) == want
+    monkeypatch.setattr(ingest, "MOST_BITMAPS", 0)
+    assert calls_of(spark, tmp_path / "merged", semantics) == want
+
+
+def test_only_ids_that_meet_go_through_the_window(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from stratadoc.operators import ingest
+
+    monkeypatch.setattr(ingest, "SMALL_CALL", 0)
+    seen, classify = [], ingest.classify
+    monkeypatch.setattr(ingest, "classify", lambda rows, *more: seen.append(rows.count()) or classify(rows, *more))
+    ids = [f"id {i % 397}" for i in range(400)]
+    none = {c: F.lit(None).cast("string") for c in ("error_id", "explicit_entity_id", "supersedes_id")}
+    rows = spark.createDataFrame(list(enumerate(ids)), "index long, record_id string").withColumns({**none, "record_hash": F.col("record_id")})
+    out = ingest.classify_call(rows, None, "reference", f"file://{tmp_path}/met")
+    assert seen == [6]
+    assert sorted(map(repr, out.select("index", "repeat", "inserted").collect())) == sorted(map(repr, classify(rows, None).select("index", "repeat", "inserted").collect()))
