@@ -120,6 +120,33 @@ def test_large_calls_give_what_small_ones_give(spark, tmp_path, monkeypatch, sem
     assert calls_of(spark, tmp_path / "merged", semantics) == want
 
 
+def test_many_odd_records_shuffle_no_documents(spark, tmp_path, monkeypatch):
+    """Records are left out where they were parsed; only those that inherit their entity are joined."""
+    from stratadoc.operators import ingest
+    from stratadoc.sources.store import Store
+
+    monkeypatch.setattr(ingest, "FEW_ODD", 0)
+    append, plans = Store.append, []
+
+    def spy(self, commit, table, rows, *more):
+        if table in ("records", "field_index"):
+            plans.append(plan(rows))
+        return append(self, commit, table, rows, *more)
+
+    monkeypatch.setattr(Store, "append", spy)
+    import json
+    import uuid
+
+    from stratadoc.sources.jsonl import lines_frame
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    lines = [json.dumps({"id": str(uuid.uuid4()), "time": 1_700_000_000}) for _ in range(40)]
+    for some in (lines[:20], lines):
+        ingest.ingest_lines(store, "main", lines_frame(spark, some))
+    assert len(plans) == 4 and not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
+    assert store.collection("main").records.count() == 40
+
+
 def test_only_ids_that_meet_go_through_the_window(spark, monkeypatch, tmp_path):
     from pyspark.sql import functions as F
 
