@@ -138,59 +138,57 @@ class Network:
         return np.where(symbols < self.n_words, symbols // self.class_words, self.word_classes + symbols - self.n_words)
 
     def steps(self, x: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """States after each step of symbols x (steps, lanes) from state h, and what the way back needs. Each gate has arrays of
-        its own, so that all that is done step by step runs over consecutive values."""
+        """States after each step of symbols x (steps, lanes) from state h, and what the way back needs. Each gate's values of a
+        step are consecutive, and so are those of the gates r and z, whose sigmoids are taken together."""
         v, n = self.views, HIDDEN
-        shape = (*x.shape, n)
         kind = np.result_type(v["x"], h)
-        r, z, new = (np.ascontiguousarray(g, kind) for g in np.moveaxis(v["x"][x.ravel()].reshape(*x.shape, 3, n), 2, 0))
-        to_r, to_z, to_new = (np.ascontiguousarray(u) for u in np.split(v["u"], 3, axis=1))
-        by_r, by_z, by_new = np.split(v["b"], 3)
-        r += by_r
-        z += by_z
+        gates = v["x"].reshape(-1, n).take(3 * x[:, None].astype(np.intp) + np.arange(3)[:, None], 0).astype(kind, copy=False)
+        to = self.by_gate().astype(kind)
+        by = np.repeat(v["b"].reshape(3, 1, n), x.shape[1], 1).astype(kind)
+        to[:2] *= -1  # r and z are 1 / (1 + exp(-sum))
+        np.subtract(-by[:2], gates[:, :2], out=gates[:, :2])
+        fresh = [np.flatnonzero(row) for row in keep == 0]
+        shape = (*x.shape, n)
         states, before, inner = np.empty(shape, kind), np.empty(shape, kind), np.empty(shape, kind)
-        work = np.empty(shape[1:], kind)
-        for t in range(len(x)):
-            if keep[t].all():
+        work = np.empty((3, *shape[1:]), kind)
+        with np.errstate(over="ignore"):  # 1 / inf is 0
+            for t in range(len(x)):
                 before[t] = h
-            else:
-                np.multiply(h, keep[t][:, None], out=before[t])
-            h = before[t]
-            for gate, weights in ((r[t], to_r), (z[t], to_z)):
-                np.matmul(h, weights, out=work)
-                gate += work
-                gate *= 0.5
-                np.tanh(gate, out=gate)
-                gate += 1
-                gate *= 0.5
-            np.matmul(h, to_new, out=inner[t])
-            inner[t] += by_new
-            np.multiply(r[t], inner[t], out=work)
-            value = new[t]
-            value += work
-            np.tanh(value, out=value)
-            np.subtract(h, value, out=states[t])
-            states[t] *= z[t]
-            states[t] += value
-            h = states[t]
-        return states, (before, r, z, inner, new)
+                if len(fresh[t]):
+                    before[t, fresh[t]] = 0
+                h, both, value = before[t], gates[t, :2], gates[t, 2]
+                np.matmul(h, to, out=work)
+                both += work[:2]
+                np.exp(both, out=both)
+                both += 1
+                np.reciprocal(both, out=both)
+                np.add(work[2], by[2], out=inner[t])
+                np.multiply(both[0], inner[t], out=work[0])
+                value += work[0]
+                np.tanh(value, out=value)
+                np.subtract(h, value, out=states[t])
+                states[t] *= both[1]
+                states[t] += value
+                h = states[t]
+        return states, (before, gates, inner, fresh)
+
+    def by_gate(self) -> np.ndarray:
+        """A copy of the recurrent weights, (gate, from, to)."""
+        return np.array(np.moveaxis(self.views["u"].reshape(HIDDEN, 3, HIDDEN), 1, 0), order="C")
 
     def choose(self, name: str, states: np.ndarray, node: np.ndarray, place: np.ndarray, grads: Network | None, share: float, scored: bool = True) -> tuple[np.ndarray | None, np.ndarray | None]:
         """Natural log probability of each place of its node, by a softmax over the node's places; states end in ones.
 
         With grads, `share` times the gradients of the negated sum take the place of what the nodes met had there, and those of
-        the states are returned; with scored=False the probabilities are left out.
-        Rows are sorted by node, so that a node's rows are one product; a block of rows stays within the cache.
+        the states, without their ones, are returned; with scored=False the probabilities are left out.
+        Rows must be sorted by node, so that a node's rows are one product; a block of rows stays within the cache.
         """
         weights, m = self.views[name], len(node)
         n_nodes, inner, width = weights.shape
-        back = None if grads is None else np.empty_like(states)
-        score, found = np.empty(m), np.empty(m)
-        order = np.argsort(node.astype(np.int16 if n_nodes < 1 << 15 else np.int32), kind="stable") if n_nodes > 1 else slice(None)
-        states, place = states[order], place[order]
-        cuts = np.searchsorted(node[order], np.arange(n_nodes + 1)).tolist()
+        back = None if grads is None else np.empty((m, inner - 1), states.dtype)
+        score = np.empty(m) if scored else None
+        cuts = np.searchsorted(node, np.arange(n_nodes + 1)).tolist()
         parts = [(k, i, min(i + self.block(width), b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) for i in range(a, b, self.block(width))]
-        sorted_back = None if grads is None else np.empty_like(states)
         ones, e_all = np.ones(width, states.dtype), np.empty((self.block(width), width), states.dtype)
         at = 0
         while at < len(parts):
@@ -208,8 +206,8 @@ class Network:
                     e[last - start :, width - self.spare[name] :] = -np.inf
 
             logits()
-            rows, places = np.arange(end - start), place[start:end]
-            picked = e[rows, places] if scored else None
+            values, places = e.reshape(-1), np.arange(0, e.size, width) + place[start:end]
+            picked = values[places] if scored else None
             with np.errstate(over="ignore"):
                 np.exp(e, out=e)
                 total = e @ ones
@@ -221,30 +219,30 @@ class Network:
                 np.exp(e, out=e)
                 total = e @ ones
             if scored:
-                found[start:end] = picked - np.log(total)
+                score[start:end] = picked - np.log(total)
             if grads is None:
                 continue
             # each row of e by share / total is what it adds to the gradients
-            e[rows, places] -= total
-            factor = (share / total)[:, None]
+            values[places] -= total
+            factor = share / total
+            scaled = states[start:end, :-1]
             if width < inner:
-                e *= factor
-                scaled = states[start:end]
+                e *= factor[:, None]
+                of_bias = np.ones_like(factor)
             else:
-                scaled = states[start:end] * factor
+                scaled, of_bias = scaled * factor[:, None], factor
             for k, i, j in own:
+                rows, own_e, own_grads = slice(i - start, j - start), e[i - start : j - start], grads.views[name][k]
                 if i == cuts[k]:
-                    np.matmul(scaled[i - start : j - start].T, e[i - start : j - start], out=grads.views[name][k])
+                    np.matmul(scaled[rows].T, own_e, out=own_grads[:-1])
+                    np.matmul(of_bias[rows], own_e, out=own_grads[-1])
                 else:
-                    grads.views[name][k] += scaled[i - start : j - start].T @ e[i - start : j - start]
-                np.matmul(e[i - start : j - start], weights[k].T, out=sorted_back[i:j])
+                    own_grads[:-1] += scaled[rows].T @ own_e
+                    own_grads[-1] += of_bias[rows] @ own_e
+                np.matmul(own_e, weights[k, :-1].T, out=back[i:j])
             if width >= inner:
-                sorted_back[start:end] *= factor
-        if grads is not None:
-            back[order] = sorted_back
-        if scored:
-            score[order] = found
-        return score if scored else None, back
+                back[start:end] *= factor[:, None]
+        return score, back
 
     @staticmethod
     def block(width: int) -> int:
@@ -253,27 +251,36 @@ class Network:
     def outputs(self, states: np.ndarray, y: np.ndarray, grads: Network | None = None, least: int = 1, scored: bool = True) -> tuple[np.ndarray | None, np.ndarray | None]:
         """Natural log probability of each symbol given its state; and, with grads, the states' gradients of the mean loss,
         where fewer than `least` symbols count as so many. scored=False leaves out the former."""
-        states = np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1)
         share, classes = states.dtype.type(1 / max(least, len(y), 1)), self.class_of(y)
-        group = classes // self.group_classes
-        score, back = self.choose("g", states, np.zeros_like(group), group, grads, share, scored)
-        more, inner = self.choose("c", states, group, classes - group * self.group_classes, grads, share, scored)
-        worded = np.flatnonzero(y < self.n_words)
-        word_score, word_back = self.choose("w", states[worded], classes[worded], y[worded] - classes[worded] * self.class_words, grads, share, scored)
+        # sorted by class, rows are sorted by group too, and those of words come before those of forms
+        order = np.argsort(classes.astype(np.int16 if self.n_classes < 1 << 15 else np.int32), kind="stable")
+        classes, words = classes[order], y[order]
+        ordered = np.empty((len(states), states.shape[1] + 1), states.dtype)
+        ordered[:, :-1], ordered[:, -1] = states.take(order, 0), 1
+        group, n = classes // self.group_classes, int(np.searchsorted(classes, self.word_classes))
+        found, back = self.choose("g", ordered, np.zeros_like(group), group, grads, share, scored)
+        more, inner = self.choose("c", ordered, group, classes - group * self.group_classes, grads, share, scored)
+        word_found, word_back = self.choose("w", ordered[:n], classes[:n], words[:n] - classes[:n] * self.class_words, grads, share, scored)
+        score = None
         if scored:
-            score += more
-            score[worded] += word_score
+            found += more
+            found[:n] += word_found
+            score = np.empty_like(found)
+            score[order] = found
         if grads is None:
             return score, None
         back += inner
-        back[worded] += word_back
-        return score, back[:, :-1]
+        back[:n] += word_back
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return score, back.take(place, 0)
 
     def back(self, x: np.ndarray, keep: np.ndarray, trace: tuple, back: np.ndarray, grads: Network, scattered: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Adds the gradients of one window; nothing flows to the window before. Returns the input symbols met and their
         gradients, which are added only if `scattered`."""
-        v, n = self.views, HIDDEN
-        before, r, z, recurrent, new = trace
+        n, lanes = HIDDEN, x.shape[1]
+        before, gates, recurrent, fresh = trace
+        r, z, new = gates[:, 0], gates[:, 1], gates[:, 2]
         rest = 1 - z
         by_z = before - new
         by_z *= z
@@ -282,47 +289,50 @@ class Network:
         by_r = 1 - r
         by_r *= r
         by_r *= recurrent
-        # gradients of the gates' sums, and of the recurrent part of the new value
-        to_r, to_z, to_new, to_inner = (np.empty_like(z) for _ in range(4))
-        back_r, back_z, back_new = (np.ascontiguousarray(u.T) for u in np.split(v["u"], 3, axis=1))
-        carried, d, work = np.zeros_like(back[0]), np.empty_like(back[0]), np.empty_like(back[0])
+        # gradients, step by step, of the new value's sum, of the gates' sums and of the recurrent part of the new value
+        to = np.empty((len(x), 4, lanes, n), z.dtype)
+        weights = np.ascontiguousarray(self.by_gate().transpose(0, 2, 1))
+        carried, d, work = np.zeros_like(back[0]), np.empty_like(back[0]), np.empty((3, lanes, n), back.dtype)
         for t in range(len(x) - 1, -1, -1):
+            to_new, to_r, to_z, to_inner = to[t]
             np.add(back[t], carried, out=d)
-            np.multiply(d, rest[t], out=to_new[t])
-            np.multiply(d, by_z[t], out=to_z[t])
-            np.multiply(to_new[t], by_r[t], out=to_r[t])
-            np.multiply(to_new[t], r[t], out=to_inner[t])
+            np.multiply(d, rest[t], out=to_new)
+            np.multiply(d, by_z[t], out=to_z)
+            np.multiply(to_new, by_r[t], out=to_r)
+            np.multiply(to_new, r[t], out=to_inner)
             np.multiply(d, z[t], out=carried)
-            for part, weights in ((to_r[t], back_r), (to_z[t], back_z), (to_inner[t], back_new)):
-                np.matmul(part, weights, out=work)
-                carried += work
-            if not keep[t].all():
-                carried *= keep[t][:, None]
-        ones, flat = np.ones(x.size, back.dtype), before.reshape(-1, n).T
-        for k, part in enumerate((to_r, to_z, to_inner)):
-            part = part.reshape(-1, n)
-            grads.views["u"][:, k * n : (k + 1) * n] += flat @ part
-            grads.views["b"][k * n : (k + 1) * n] += ones @ part
-        rows, of_rows = summed_by(x.ravel(), np.concatenate([g.reshape(-1, n) for g in (to_r, to_z, to_new)], axis=1))
+            np.matmul(to[t, 1:], weights, out=work)
+            for part in work:
+                carried += part
+            if len(fresh[t]):
+                carried[fresh[t]] = 0
+        of_weights = np.matmul(before.transpose(0, 2, 1)[:, None], to[:, 1:]).sum(0)
+        grads.views["u"] += np.moveaxis(of_weights, 0, 1).reshape(n, 3 * n)
+        grads.views["b"] += np.matmul(np.ones(lanes, back.dtype), to[:, 1:]).sum(0).ravel()
+        # where r, z and the new value of each place are
+        at = (4 * lanes * np.arange(len(x))[:, None] + np.arange(lanes)).reshape(-1, 1) + lanes * np.array([1, 2, 0])
+        rows, of_rows = summed_by(x.ravel(), to.reshape(-1, n), at)
         if scattered:
             grads.views["x"][rows] += of_rows
         return rows, of_rows
 
 
-def summed_by(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct keys, sums of their rows of values). Most keys are rare: their rows are added place by place, for all keys at
-    once, and only those of frequent keys key by key."""
+def summed_by(keys: np.ndarray, values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sums of their values): a key's values are the rows at[key's place] of `values`, side by side. Most keys
+    are rare: their values are added place by place, for all keys at once, and only those of frequent keys key by key."""
     order = np.argsort(keys.astype(np.uint16 if keys.max(initial=0) < 1 << 16 else np.int32), kind="stable")
     cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
     counts = np.diff(cuts, append=len(order))
-    sums = values[order[cuts]]
+    ordered = values.take(at.take(order, 0), 0).reshape(len(order), -1)
+    sums = ordered.take(cuts, 0)
     for place in range(1, RARE):
         more = np.flatnonzero((counts > place) & (counts <= RARE))
         if not len(more):
             break
-        sums[more] += values[order[cuts[more] + place]]
+        sums[more] += ordered.take(cuts[more] + place, 0)
+    ones = np.ones(counts.max(initial=0), values.dtype)
     for k in np.flatnonzero(counts > RARE).tolist():
-        sums[k] = values[order[cuts[k] : cuts[k] + counts[k]]].sum(0)
+        np.matmul(ones[: counts[k]], ordered[cuts[k] : cuts[k] + counts[k]], out=sums[k])
     return keys[order[cuts]], sums
 
 
@@ -358,8 +368,8 @@ class Adam:
             rest *= np.float32(1 / norm)
         shape = net.views["x"].shape
         first, second = self.first[:n].reshape(shape), self.second[:n].reshape(shape)
-        first_rows, second_rows = first[rows], second[rows]
-        net.views["x"][rows] -= self.moved(of_rows, first_rows, second_rows, np.empty_like(of_rows))
+        first_rows, second_rows = first.take(rows, 0), second.take(rows, 0)
+        net.views["x"][rows] = net.views["x"].take(rows, 0) - self.moved(of_rows, first_rows, second_rows, np.empty_like(of_rows))
         first[rows], second[rows] = first_rows, second_rows
         work = np.empty(ADAM_FLOATS, net.flat.dtype)
         for at in range(n, len(net.flat), ADAM_FLOATS):  # a part stays within the cache
@@ -404,14 +414,16 @@ class Lanes:
         h, grads = np.zeros((len(self.load), HIDDEN), np.float32), network.zeros()
         least = WINDOW * len(self.load) // 2  # the last lanes of a buffer must not weigh more than whole windows
         for live, at, inside in self.windows():
-            x, keep = self.x[at], 1 - self.fresh[at].astype(np.float32)
+            x, keep = self.x.take(at), ~self.fresh.take(at)
             states, trace = network.steps(x, keep, h[:live])
             h[:live] = states[-1]
-            where = np.nonzero(inside)
-            _, back = network.outputs(states[where], self.y[at[where]], grads, least, scored=False)
-            whole = np.zeros_like(states)
-            whole[where] = back
-            adam.update(grads, *network.back(x, keep, trace, whole, grads, scattered=False))
+            y, flat = self.y.take(at).ravel(), states.reshape(-1, HIDDEN)
+            if inside.all():
+                _, back = network.outputs(flat, y, grads, least, scored=False)
+            else:
+                where, back = np.flatnonzero(inside), np.zeros_like(flat)
+                _, back[where] = network.outputs(flat.take(where, 0), y[where], grads, least, scored=False)
+            adam.update(grads, *network.back(x, keep, trace, back.reshape(states.shape), grads, scattered=False))
 
     def score(self, network: Network, n_docs: int) -> np.ndarray:
         """Natural log probability of each document's symbols."""
@@ -424,10 +436,13 @@ class Lanes:
             held.clear()
 
         for live, at, inside in self.windows():
-            x, keep = self.x[at], 1 - self.fresh[at].astype(np.float32)
-            states, _ = network.steps(x, keep, h[:live])
+            states, _ = network.steps(self.x.take(at), ~self.fresh.take(at), h[:live])
             h[:live] = states[-1]
-            held.append((at[inside], states[inside]))
+            at, states = at.ravel(), states.reshape(-1, HIDDEN)
+            if not inside.all():
+                where = np.flatnonzero(inside)
+                at, states = at[where], states.take(where, 0)
+            held.append((at, states))
             if sum(len(p) for p, _ in held) >= SCORED_TOKENS:
                 add()
         if held:

@@ -113,3 +113,57 @@ def test_without_training_rows(spark):
     rows = score_documents(spark, spark.createDataFrame([(held, "some words")], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9)) for r in rows] == [(3, 0, 0, 0.0)] and rows[0].score < 0
     assert score_documents(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_window_takes_one_order_and_one_tanh_a_unit(monkeypatch):
+    """What a window costs: gates by exponentials, rows sorted once for all outputs, with and without gradients."""
+    from stratadoc.llm import lm_score as L
+
+    met = {"tanh": 0, "argsort": 0}
+    tanh, argsort = np.tanh, np.argsort
+
+    def counted_tanh(values, *more, **named):
+        met["tanh"] += np.size(values)
+        return tanh(values, *more, **named)
+
+    def counted_argsort(values, *more, **named):
+        met["argsort"] += 1
+        return argsort(values, *more, **named)
+
+    monkeypatch.setattr(L.np, "tanh", counted_tanh)
+    monkeypatch.setattr(L.np, "argsort", counted_argsort)
+    net = small_network()
+    x = np.random.default_rng(3).integers(0, net.start, (4, 6))
+    states, _ = net.steps(x, np.ones((4, 6)), np.zeros((6, 16), np.float32))
+    assert met == {"tanh": 4 * 6 * 16, "argsort": 0}
+    for grads in (None, net.zeros()):
+        met["argsort"] = 0
+        net.outputs(states.reshape(24, 16), x.ravel(), grads)
+        assert met["argsort"] == 1
+
+
+def test_gates_far_out_and_blocks_of_few_rows(monkeypatch):
+    """Sums beyond what an exponential holds close or open a gate; a node's rows in several blocks give the same gradients."""
+    import warnings
+
+    from stratadoc.llm import lm_score as L
+
+    net, rng = small_network(), np.random.default_rng(4)
+    net.views["x"][3, :16], net.views["x"][3, 16:32] = 1e4, -1e4
+    net.views["x"][5, :16], net.views["x"][5, 16:32] = -1e4, 1e4
+    h = rng.normal(0, 1, (1, 16)).astype(np.float32)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        new = net.steps(np.array([[3]]), np.ones((1, 1)), h)[0][0]
+        kept = net.steps(np.array([[5]]), np.ones((1, 1)), h)[0][0]
+    assert np.abs(new - np.tanh(net.views["x"][3, 32:] + h @ net.views["u"][:, 32:] + net.views["b"][32:])).max() < 1e-5
+    assert np.abs(kept - h).max() < 1e-6
+
+    states, y, made = rng.normal(0, 1, (300, 16)).astype(np.float32), rng.integers(0, net.start, 300), []
+    for floats in (1 << 18, 100, 1):
+        monkeypatch.setattr(L, "BLOCK_FLOATS", floats)
+        grads = net.zeros()
+        score, back = net.outputs(states, y, grads)
+        made.append((score, back, grads.flat))
+    for other in made[1:]:
+        assert all(np.abs(a - b).max() < 1e-5 for a, b in zip(made[0], other, strict=True))
